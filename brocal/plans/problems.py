@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brocal.functions.names import same_name
-from brocal.operators.copies import surplus_copies
+from brocal.operators.copies import keep_one, surplus_copies
 from brocal.operators.instants import instants, to_normalise
+from brocal.operators.late import SEP, high_marks, late_corrections, merged_periods
 from brocal.operators.orphans import Reference, unresolved, unresolved_report
 
 
@@ -21,6 +22,26 @@ def message() -> list:
     return [same_name("robot_id"), same_name("sensor"), F.col("ts_evento")]
 
 
+def _kept(rows: DataFrame, *more: str) -> DataFrame:
+    """The kept copy of each message."""
+    return keep_one(rows, message(), ["lectura_id"], ["lectura_id", "robot_id", "sensor", "ts_evento", "lote", *more], unique=True)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "telemetry")
+    marks = high_marks(rows, "lote", "ts_evento")
+    return late_corrections(_kept(rows), message()[:2], "ts_evento", "lote", "lectura_id", marks=marks)
+
+
+def p2_periods(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "telemetry")
+    marks = high_marks(rows, "lote", "ts_evento")
+    parts = merged_periods(late_corrections(_kept(rows, "valor"), message()[:2], "ts_evento", "lote", "lectura_id", "valor", marks=marks, emit="periods"))
+    names = F.split("fuente", SEP)
+    sums = [F.round(c, 6).alias(c) for c in ("primera_suma", "final_suma")]
+    return parts.select(names[0].alias("robot_id"), names[1].alias("sensor"), "inicio_us", "publicada", *[c for c in parts.columns[3:] if not c.endswith("suma")], *sums)
+
+
 REFERENCES = (
     Reference("likes", "user_id", "users"),
     Reference("likes", "post_id", "posts"),
@@ -53,7 +74,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p6_found": p6_found}
 
 _REFS = " union all ".join(
     f"select '{r.table}' tabla, _id fila_id, '{r.field}' campo, ingested_at, '{r.parent}' padre, lower(trim({r.field}, ' ' || chr(9) || chr(10) || chr(13))) clave from {r.table} where {r.field} is not null"
@@ -66,7 +87,26 @@ judged as (select tabla, fila_id, campo, strftime(r.ingested_at, '%Y-%m') period
              case when k.clave is null then 'missing' when k.hasta <= r.ingested_at then 'deleted' when k.desde > r.ingested_at then 'late' end clase
            from refs r left join known k on r.padre = k.padre and r.clave = k.clave)
 """
+_P2 = """with per as (select lote, max(epoch_us(ts_evento)) hasta from telemetry group by 1),
+marks as (select lote, max(hasta) over (order by lote rows between unbounded preceding and 1 preceding) marca from per),
+kept as (select lectura_id, lower(trim(robot_id)) robot_id, lower(trim(sensor)) sensor, epoch_us(ts_evento) // 300000000 * 300000000 inicio_us, lote,
+           case when isnan(valor) then null else valor end valor
+         from telemetry qualify row_number() over (partition by lower(trim(robot_id)), lower(trim(sensor)), ts_evento order by lectura_id) = 1),
+judged as (select k.*, case when marca >= inicio_us + 1200000000 then 'descartada' when marca >= inicio_us + 420000000 then 'corrige' end destino
+           from kept k join marks using (lote))
+"""
 SQL = {
+    "p2_found": _P2 + "select lectura_id, destino from judged where destino is not null",
+    "p2_periods": _P2 + """, grouped as (select robot_id, sensor, inicio_us, inicio_us + 420000000 <= (select max(hasta) from per) publicada,
+  count(*) filter (where destino is null) a, count(valor) filter (where destino is null) b, sum(valor) filter (where destino is null) c,
+  min(valor) filter (where destino is null) d, max(valor) filter (where destino is null) e,
+  count(*) filter (where destino is distinct from 'descartada') final_filas, count(valor) filter (where destino is distinct from 'descartada') final_n,
+  round(sum(valor) filter (where destino is distinct from 'descartada'), 6) final_suma, min(valor) filter (where destino is distinct from 'descartada') final_min,
+  max(valor) filter (where destino is distinct from 'descartada') final_max,
+  count(*) filter (where destino = 'corrige') corrigen, count(*) filter (where destino = 'descartada') descartadas from judged group by 1, 2, 3)
+select robot_id, sensor, inicio_us, publicada, case when publicada then a end primera_filas, case when publicada then b end primera_n,
+  case when publicada then round(c, 6) end primera_suma, case when publicada then d end primera_min, case when publicada then e end primera_max,
+  final_filas, final_n, final_suma, final_min, final_max, corrigen, descartadas from grouped""",
     "p3_found": _P3 + "select * from judged where clase is not null",
     "p3_report": _P3 + "select tabla, campo, periodo, clase, count(*) as filas from judged where clase is not null group by all",
     "p5_found": """select lectura_id from telemetry

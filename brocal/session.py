@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,23 @@ def cut(df: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """How many partitions an explicit shuffle gets."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable for the Python workers, wherever they run.
+
+    The driver serves it as a file to each executor, those that join later too.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="brocal-code-")) / "brocal.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
