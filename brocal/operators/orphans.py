@@ -9,11 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brocal.functions.names import same_name
-
-#: A key that more than this share of all references name is hot; there are at most 1 / HOT_SHARE such keys.
-HOT_SHARE = 1 / 1000
-#: And it must have more references than this, as few rows need no splitting.
-HOT_ROWS = 100_000
+from brocal.operators.skew import hot_limit, join_back
 
 
 @dataclass(frozen=True)
@@ -46,8 +42,8 @@ def unresolved(
     2. A left anti-join of the distinct keys against the parents gives the
        missing ones; the others join their parent, and only keys that fail for
        the first or last arrival go on.
-    3. These keys are joined back to the rows.  Hot keys (by HOT_SHARE, so at
-       most 1,000 of them) meet their rows by broadcast; all rows of hot keys
+    3. These keys are joined back to the rows.  Hot keys (at
+       most 1,000, by their share of the rows) meet their rows by broadcast; all rows of hot keys
        are taken off before the others are shuffled to theirs.
 
     Names are compared without blanks at both ends and in lower case.  Nulls:
@@ -68,7 +64,7 @@ def unresolved(
     for side in sides[1:]:
         rows = rows.unionByName(side)
     total = sum(children[r.table].count() for r in references)  # from the files' footers
-    hot = max(HOT_ROWS, int(total * HOT_SHARE))
+    hot = hot_limit(total)
 
     known = None
     for name in dict.fromkeys(r.parent for r in references):
@@ -84,11 +80,8 @@ def unresolved(
     untimely = keys.join(known, ["padre", "clave"]).where("hasta <= ultima or desde > primera").withColumn("existe", F.lit(True))
     failing = missing.unionByName(untimely).drop("primera", "ultima")
 
-    crowded = F.col("filas") > hot
-    by_key = ["padre", "clave"]
-    of_hot = rows.join(F.broadcast(failing.where(crowded)), by_key)
-    of_rest = rows.join(F.broadcast(keys.where(crowded).select(*by_key)), by_key, "left_anti").join(failing.where(~crowded), by_key)
-    found = of_hot.unionByName(of_rest)
+    crowded = keys.where(F.col("filas") > hot)
+    found = join_back(rows, failing, ["padre", "clave"], "filas", hot, crowded)
     clase = F.when(~F.col("existe"), "missing").when(F.col("hasta") <= F.col("llegada"), "deleted").when(F.col("desde") > F.col("llegada"), "late")
     return found.select("tabla", "fila_id", "campo", F.date_format("llegada", "yyyy-MM").alias("periodo"), clase.alias("clase")).where("clase is not null")
 

@@ -10,6 +10,7 @@ from brocal.operators.copies import keep_one, surplus_copies
 from brocal.operators.instants import instants, to_normalise
 from brocal.operators.late import SEP, high_marks, late_corrections, merged_periods
 from brocal.operators.orphans import Reference, unresolved, unresolved_report
+from brocal.operators.spikes import implausible
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,6 +23,11 @@ def message() -> list:
     return [same_name("robot_id"), same_name("sensor"), F.col("ts_evento")]
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "telemetry")
+    return implausible(rows, message()[:2], same_name("sensor"), "ts_evento", "valor", "lectura_id", table(spark, sf, "sensor_limits"), {"bateria": 100.0})
+
+
 def _kept(rows: DataFrame, *more: str) -> DataFrame:
     """The kept copy of each message."""
     return keep_one(rows, message(), ["lectura_id"], ["lectura_id", "robot_id", "sensor", "ts_evento", "lote", *more], unique=True)
@@ -74,7 +80,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
-QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_periods": p2_periods, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p6_found": p6_found}
 
 _REFS = " union all ".join(
     f"select '{r.table}' tabla, _id fila_id, '{r.field}' campo, ingested_at, '{r.parent}' padre, lower(trim({r.field}, ' ' || chr(9) || chr(10) || chr(13))) clave from {r.table} where {r.field} is not null"
