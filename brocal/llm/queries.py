@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brocal.llm.mojibake import garbled
+from brocal.llm.packing import packed, packing_report
+from brocal.llm.tokenizer import encoded, token_lengths
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,5 +32,17 @@ def p4_restored(spark: SparkSession, sf: str) -> DataFrame:
     return garbled(_texts(spark, sf)).select("tabla", "fila_id", "campo", "texto", "original")
 
 
-QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored}
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encoded(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return packed(token_lengths(table(spark, sf, "documents"), "doc_id", "text"), "doc_id")
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return packing_report(p8_pack(spark, sf))
+
+
+QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_report": p8_report}
 SQL: dict[str, str] = {}
