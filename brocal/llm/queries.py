@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brocal.llm.mojibake import garbled
 from brocal.llm.packing import packed, packing_report
+from brocal.llm.subjects import assigned, composition, subject_posteriors
 from brocal.llm.tokenizer import encoded, token_lengths
 
 
@@ -44,5 +45,17 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return packing_report(p8_pack(spark, sf))
 
 
-QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_report": p8_report}
+def _posteriors(spark: SparkSession, sf: str) -> DataFrame:
+    return subject_posteriors(*[table(spark, sf, n) for n in ("documents", "subjects", "subject_labels")])
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return assigned(_posteriors(spark, sf))
+
+
+def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
+    return composition(_posteriors(spark, sf), table(spark, sf, "subjects"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_report": p8_report, "p9_found": p9_found, "p9_composition": p9_composition}
 SQL: dict[str, str] = {}
