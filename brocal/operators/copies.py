@@ -73,3 +73,18 @@ def surplus_copies(df: DataFrame, keys: Sequence[Column | str], order: Sequence[
     """
     kept = keep_one(df, keys, order, payload=[row_id], unique=True)
     return df.select(row_id).join(kept, row_id, "left_anti")
+
+
+def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep_nulls: bool = False) -> DataFrame:
+    """The first row by `order` of each value of `keys`; nulls are values too, so rows without a key leave one.
+
+    `keep_nulls` keeps each row that has a null key instead.  As an aggregation
+    with partial results, it has no hot partition where a window would.
+    """
+    if keep_nulls:
+        return keep_one(df, list(keys), list(order))
+    columns = list(df.columns)
+    made = df.groupBy(*[F.col(f"`{k}`").alias(f"__g{i}") for i, k in enumerate(keys)]).agg(
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.struct(*[F.col(f"`{c}`") for c in order])).alias("__row")
+    )
+    return made.select(*[F.col("__row").getField(c).alias(c) for c in columns])
