@@ -94,9 +94,7 @@ def strip_html(text: Column | str) -> Column:
     t = F.regexp_replace(t, r"\[\[([^\]]+)\]\]", "$1")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
     t = F.regexp_replace(t, r"<[^>]+>", "")
-    for marker in BOILERPLATE:
-        at = F.instr(t, marker)
-        t = F.when(at > 0, F.substring(t, F.lit(1), at - 1)).otherwise(t)
+    t = F.regexp_replace(t, "(?s)(?:" + "|".join(BOILERPLATE) + ").*", "")
     return F.regexp_replace(t, r"\n{3,}", "\n\n")
 
 

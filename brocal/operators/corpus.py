@@ -78,32 +78,45 @@ def exact_report(df: DataFrame) -> DataFrame:
     return per.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("unicos")).withColumn("duplicados", F.col("total") - F.col("unicos"))
 
 
-def shingles(text: Column | str, size: int = WORDS) -> Column:
-    """The distinct shingles of so many words; of a shorter text, all its words as one."""
-    w = F.regexp_extract_all(F.lower(text if isinstance(text, Column) else F.col(text)), F.lit(WORD), 0)
+def words_of(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), 0)
+
+
+def shingles(w: Column, size: int = WORDS) -> Column:
+    """The distinct shingles of so many words of a list of words; of a shorter list, all its words as one.
+
+    `w` must be a column of a table, not an expression: the lambda reads it for each shingle.
+    """
     many = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
     return F.array_distinct(F.when(F.size(w) > size, many).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>")))
 
 
-def minhash(shingle_hashes: Column, rows: int = 64, seed: int = 42) -> Column:
-    """Signature of so many minima of (a x + b) mod p over 31-bit hashes."""
+def _shingled(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """`key`, s (sorted distinct shingles) of each text with any word."""
+    d = df.where(F.col(text).isNotNull()).select(key, words_of(text).alias("w")).where(F.size("w") > 0)
+    return d.select(key, F.array_sort(shingles(F.col("w"))).alias("s"))
+
+
+def minima(rows: int = 64, seed: int = 42, hash: str = "h") -> list[Column]:
+    """Aggregates of a signature: so many minima of (a x + b) mod p over 31-bit hashes, in which partial results combine before any shuffle."""
     r = random.Random(seed)
-    ab = [(r.randrange(1, MERSENNE), r.randrange(MERSENNE)) for _ in range(rows)]
-    consts = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in ab])
-    return F.transform(consts, lambda c: F.array_min(F.transform(shingle_hashes, lambda x: (c["a"] * x + c["b"]) % MERSENNE)))
+    return [F.min((F.lit(r.randrange(1, MERSENNE)).cast("bigint") * F.col(hash) + r.randrange(MERSENNE)) % MERSENNE).alias(f"m{i}") for i in range(rows)]
+
+
+def _signed(sets: DataFrame, key: str, rows: int) -> DataFrame:
+    # not explode: the filter that it implies would be pushed below and count the words again for each shingle
+    hashed = sets.select(key, F.explode_outer("s").alias("t")).select(key, F.pmod(F.xxhash64("t"), F.lit(MERSENNE)).alias("h"))
+    return hashed.groupBy(key).agg(*minima(rows)).select(key, F.array(*[f"m{i}" for i in range(rows)]).alias("firma"))
 
 
 def signatures(df: DataFrame, key: str = "doc_id", rows: int = 64) -> DataFrame:
     """`key`, firma of each text with any word."""
-    h = F.transform(shingles("text"), lambda s: F.pmod(F.xxhash64(s), F.lit(MERSENNE)))
-    d = df.where("text is not null").select(key, h.alias("h")).where(F.size("h") > 0)
-    return d.select(key, minhash(F.col("h"), rows).alias("firma"))
+    return _signed(_shingled(df, key), key, rows)
 
 
 def _sets(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(key, rep) of all texts, rep the least key with the same set of shingles; and (id, s) with the set of each rep."""
-    d = df.where("text is not null").select(key, F.array_sort(shingles("text")).alias("s")).where(F.size("s") > 0)
-    d = d.withColumn("h", F.md5(F.array_join("s", "\n")))
+    d = cut(_shingled(df, key).withColumn("h", F.md5(F.array_join("s", "\n"))))
     reps = d.groupBy("h").agg(F.min(key).alias("rep"))
     members = d.select(key, "h").join(reps, "h").select(key, "rep")
     return members, d.join(reps.select(F.col("rep").alias(key)), key, "left_semi").select(F.col(key).alias("id"), "s")
@@ -136,9 +149,8 @@ def lsh_pairs(df: DataFrame, key: str = "doc_id", bands: int = 16, width: int =
     """a, b, jaccard of different shingle sets that share a band of their signatures and are similar."""
     _, sets = _sets(df, key)
     sets = cut(sets)
-    h = F.transform("s", lambda s: F.pmod(F.xxhash64(s), F.lit(MERSENNE)))
-    sig = sets.select("id", minhash(h, bands * width).alias("f"))
-    rows = sig.select("id", F.posexplode(F.array(*[F.xxhash64(F.slice("f", i * width + 1, width)) for i in range(bands)])).alias("band", "h"))
+    sig = _signed(sets, "id", bands * width)
+    rows = cut(sig.select("id", F.posexplode(F.array(*[F.xxhash64(F.slice("firma", i * width + 1, width)) for i in range(bands)])).alias("band", "h")))
     pairs = rows.alias("x").join(rows.alias("y"), ["band", "h"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
