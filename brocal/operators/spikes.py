@@ -27,6 +27,8 @@ CENTRE = 7
 LONGEST = 3
 #: Shortest run of one value that counts as stuck.
 STUCK = 6
+#: The readings beside an excursion must have come back to within this share of its distance.
+BACK = 0.5
 #: Times the scatter that an excursion must stand off.
 TIMES = 6.0
 #: The scatter counts as at least this share of that of the piece of the series around the reading.
@@ -70,10 +72,16 @@ def standoff(x: np.ndarray) -> np.ndarray:
             break
         o = i + len(pad)
         before, after = level[o - SIDE], level[o + k]
-        before, after = np.where(np.isnan(after), near[o - END], before), np.where(np.isnan(before), near[o + k], after)
+        # where one side is missing, the nearest of the other, and as far as this drifts
+        first, last = np.isnan(before), np.isnan(after)
         low, high = np.fmin(before, after), np.fmax(before, after)
+        for alone, level_there, near_there in ((last, before, near[o - END]), (first, after, near[o + k])):
+            drift = np.abs(near_there - level_there)
+            low, high = np.where(alone, near_there - drift, low), np.where(alone, near_there + drift, high)
         d = np.min([_outside(x[i + q], low, high) for q in range(k)], axis=0)
-        d = np.where(np.isnan(d), -np.inf, d)
+        with np.errstate(invalid="ignore"):
+            beside = np.fmax(_outside(wide[o - 1], low, high), _outside(wide[o + k], low, high))
+            d = np.where(np.isnan(d) | (beside > BACK * d), -np.inf, d)
         for q in range(k):
             best[i + q] = np.maximum(best[i + q], d)
     return best
@@ -92,7 +100,8 @@ def standoff_inside(x: np.ndarray) -> np.ndarray:
         low, high = np.minimum(before, after), np.maximum(before, after)
         with np.errstate(invalid="ignore"):
             d = np.min([_outside(x[i + q], low, high) for q in range(k)], axis=0)
-        d = np.where(np.isnan(d), -np.inf, d)
+            beside = np.fmax(_outside(x[i - 1], low, high), _outside(x[i + k], low, high))
+            d = np.where(np.isnan(d) | (beside > BACK * d), -np.inf, d)
         for q in range(k):
             best[i + q] = np.maximum(best[i + q], d)
     return best
@@ -293,8 +302,10 @@ def implausible(
     * one of STUCK or more readings in a row with the same value, unless that
       is the value at which the sensor is `full`;
     * in an excursion of at most LONGEST readings, each further than TIMES the
-      scatter outside the medians of the SIDE readings before and after it.
-      Where the series begins or ends, the END nearest on the one side count.
+      scatter outside the medians of the SIDE readings before and after it,
+      with the readings beside it back at BACK of its distance or nearer.
+      Where the series begins or ends, the END nearest on the one side count,
+      widened by how far they are from the SIDE nearest.
 
     Scatter is MAD times the median deviation of the source's readings from
     their rolling median (Hampel filter), stuck and impossible ones left out,
