@@ -136,3 +136,15 @@ def test_shortest_path_both_ways(spark):
     assert G.shortest_path(nodes, edges, "e", "a").first()["distance"] == 4
     assert G.shortest_path(nodes, edges, "a", "a").first()["distance"] == 0
     assert G.shortest_path(nodes, edges, "a", "f").count() == 0
+
+
+def test_a_map_keeps_groups_apart():
+    import numpy as np
+
+    from brocal.operators.embed import tsne
+
+    r = np.random.default_rng(0)
+    x = np.concatenate([r.normal(0, 1, (40, 5)), r.normal(12, 1, (40, 5))])
+    y = tsne(x, 10)
+    a, b = y[:40], y[40:]
+    assert np.linalg.norm(a.mean(0) - b.mean(0)) > 2 * max(a.std(), b.std())
