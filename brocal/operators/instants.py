@@ -113,21 +113,23 @@ def instants(df: DataFrame, text: str, zone: str | None, arrived: str | None, ou
     # text in no notation stays one piece: its parts are null; parts that a notation lacks are empty
     work = work.select(*own, "__bx_zone", "__bx_in", *[F.get("__bx_p", F.lit(PARTS.index(p))).alias(f"__bx_{p}") for p in PARTS[1:]], F.when(F.size("__bx_p") > 1, F.get("__bx_p", F.lit(0))).alias("__bx_y"))
     part = {p: F.col(f"__bx_{p}") for p in PARTS}
-    num = {p: part[p].try_cast("bigint") for p in "ymdhnsr"}
+    # parts are digits or empty; a cast of empty text, even try_cast, goes through an exception
+    digits = lambda c, kind: F.nullif(c, F.lit("")).cast(kind)
+    num = {p: digits(part[p], "bigint") for p in "ymdhnsr"}
     months = F.create_map(*[F.lit(x) for m, names in MONTHS.items() for n in names for x in (n, m)])
     named = F.create_map(*[F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v)])
     units = F.create_map(*[F.lit(x) for k, v in UNITS.items() for x in (k, v)])
     month = F.when(part["w"] == "", num["m"]).otherwise(months[F.lower(part["w"])].cast("bigint"))
     hour = F.when(part["p"] == "", num["h"]).when(num["h"].between(1, 12), num["h"] % 12 + F.when(F.lower(part["p"]) == "p", 12).otherwise(0))
-    minutes = F.substring(part["o"], 2, 2).try_cast("int") * 60 + F.coalesce(F.regexp_replace(F.substring(part["o"], 4, 3), ":", "").try_cast("int"), F.lit(0))
+    minutes = digits(F.substring(part["o"], 2, 2), "int") * 60 + F.coalesce(digits(F.replace(F.substring(part["o"], 4, 3), F.lit(":"), F.lit("")), "int"), F.lit(0))
     offset = F.when(part["o"] != "", F.when(part["o"].startswith("-"), -minutes).otherwise(minutes)).when(part["a"] != "", named[F.upper(part["a"])])
     work = work.select(
         *own, "__bx_in",
         num["y"].alias("__bx_y"), month.alias("__bx_m"), num["d"].alias("__bx_d"), hour.alias("__bx_h"), num["n"].alias("__bx_n"),
-        F.coalesce(num["s"], F.lit(0)).alias("__bx_s"), F.coalesce(F.substring(F.rpad(part["f"], 6, "0"), 1, 6).try_cast("bigint"), F.lit(0)).alias("__bx_f"),
+        F.coalesce(num["s"], F.lit(0)).alias("__bx_s"), F.substring(F.rpad(part["f"], 6, "0"), 1, 6).cast("bigint").alias("__bx_f"),
         offset.cast("bigint").alias("__bx_off"),
         F.when(part["z"] != "", part["z"]).otherwise(F.coalesce("__bx_zone", F.lit("UTC"))).alias("__bx_tz"),
-        part["c"].try_cast("decimal(19,0)").alias("__bx_c"), F.rpad(part["k"], 6, "0").alias("__bx_k"),
+        digits(part["c"], "decimal(19,0)").alias("__bx_c"), F.rpad(part["k"], 6, "0").alias("__bx_k"),
         (num["r"] * units[F.lower(part["u"])].cast("bigint") * 1_000_000).alias("__bx_ago"),
     )
     days = days_from_civil(F.col("__bx_y"), F.col("__bx_m"), F.col("__bx_d"))
