@@ -32,21 +32,22 @@ def ql(f):
     return lambda spark, sf: plain(f(lines(spark, sf)))
 
 
-def halves(spark, sf):
-    c = table(spark, sf, "customer")
-    return c.where("c_custkey % 3 != 0").select("c_nationkey", "c_custkey", F.col("c_name").alias("name")), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.col("s_suppkey"), F.col("s_name").alias("name")).where("s_suppkey % 2 = 0 and c_nationkey > 4")
+def parties(spark, sf):
+    """All customers and all suppliers, with columns of the same name for what both have."""
+    a = table(spark, sf, "customer").select("c_nationkey", "c_custkey", F.col("c_name").alias("name"))
+    return a, table(spark, sf, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey", F.col("s_name").alias("name"))
 
 
 def join_kind(how):
     def query(spark, sf):
-        a, b = halves(spark, sf)
+        a, b = parties(spark, sf)
         return P.joined(a, b, "c_nationkey", how).select("c_nationkey", "c_custkey", "s_suppkey", "name_a", "name_b")
 
     return query
 
 
 def union_permissive(spark, sf):
-    a, b = halves(spark, sf)
+    a, b = parties(spark, sf)
     mode, df = P.union_by_schema(a, b)
     return df.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")).withColumn("modo", F.lit(mode))
 
@@ -99,7 +100,7 @@ QUERIES = {
     "outliers_cap": ql(lambda d: P.spread(P.handle_outliers(d, "l_extendedprice", "cap", "iqr", 0.3), "l_extendedprice")),
     "outliers_remove": ql(lambda d: P.spread(P.handle_outliers(d, "l_extendedprice", "remove", "iqr", 0.3), "l_extendedprice")),
     "outliers_log": q("customer", lambda d: P.spread(P.handle_outliers(d, "c_acctbal", "log"), "c_acctbal")),
-    **{f"integ_join_{h}": join_kind(h) for h in ("inner", "left", "right", "outer")}, "integ_union": union_permissive, "integ_keys": lambda s, d: P.key_report(*halves(s, d), "c_nationkey"),
+    **{f"integ_join_{h}": join_kind(h) for h in ("inner", "left", "right", "outer")}, "integ_union": union_permissive, "integ_keys": lambda s, d: P.key_report(*parties(s, d), "c_nationkey"),
     "integ_cramers_v": q("lineitem", lambda d: P.cramers_v(d, "l_returnflag", "l_linestatus")), "integ_redundant": q("robots", redundant),
     "trans_one_hot": q("orders", lambda d: P.one_hot(d, "o_orderpriority", 3).agg(*[F.sum(c).cast("bigint").alias(c.replace("-", "_").replace(" ", "_").replace(".", "_")) for c in [f"o_orderpriority_{x}" for x in ("OTROS",)]])),
     "trans_ordinal": q("orders", lambda d: d.groupBy(P.ordinal("o_orderpriority", ["5-LOW", "3-MEDIUM", "1-URGENT"]).alias("code")).agg(F.count(F.lit(1)).alias("n"))),
