@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brocal.session import ship
+from brocal.operators.neighbours import BLOCK, nearest
 
 # ---------------------------------------------------------------- missing values
 
@@ -52,53 +51,23 @@ def compare_imputers(df: DataFrame, column: str, others: dict[str, DataFrame] |
     return out.join(F.broadcast(base)).withColumn("perdida", F.round(1 - F.col("desv") / F.col("__base"), 6)).drop("__base")
 
 
-class _Nearest:
-    def __init__(self, broadcast, target: int, k: int):
-        self.broadcast, self.target, self.k = broadcast, target, k
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        donors, mean, sd = self.broadcast.value
-        z = (donors - mean) / sd
-        have = ~np.isnan(z)
-        filled = np.where(have, z, 0.0)
-        for b in batches:
-            m = np.array([np.array(c.to_numpy(zero_copy_only=False), float) for c in b.columns[1:]]).T
-            value = m[:, self.target].copy()
-            need = np.flatnonzero(np.isnan(value))
-            for at in range(0, len(need), 256):
-                rows = need[at : at + 256]
-                q = (m[rows] - mean) / sd
-                qh = ~np.isnan(q)
-                qf = np.where(qh, q, 0.0)
-                # squared distance over the columns that both have, scaled up to all
-                both = qh.astype(float) @ have.T.astype(float)
-                d = (qf**2) @ have.T.astype(float) + qh.astype(float) @ (filled**2).T - 2 * qf @ filled.T
-                d = np.where(both > 0, d * m.shape[1] / np.maximum(both, 1), np.inf)
-                near = np.argsort(d, axis=1, kind="stable")[:, : self.k]
-                value[rows] = donors[near, self.target].mean(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(value)], [b.schema.names[0], "valor"])
-
-
-def impute_knn(df: DataFrame, key: str, column: str, features: Sequence[str], k: int = 5, donors: int = 20_000) -> DataFrame:
+def impute_knn(df: DataFrame, key: str, column: str, features: Sequence[str], k: int = 5, block: int = BLOCK) -> DataFrame:
     """`key`, valor: the column with nulls replaced by the mean of the k nearest rows that have it.
 
     Distance is Euclidean over standardised features that both rows have,
-    scaled up for missing ones.  The donors are at most `donors` rows with a
-    value, by the hash of the key: a bounded sample, so the table is broadcast
-    and each row is compared with all of it in blocks.
+    scaled up for missing ones.  Rows with nulls are compared with all that have
+    a value, in blocks; of equally near ones, the hash of the key decides.
     """
-    spark = df.sparkSession
-    ship(spark)
     columns = list(dict.fromkeys([*features, column]))
+    number = {c: F.col(c).cast("double") for c in columns}
+    df = df.select(key, *[F.when(~F.isnan(x), x).alias(c) for c, x in number.items()])
     made = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
-    mean = np.array([made[f"m{i}"] or 0.0 for i in range(len(columns))])
-    sd = np.array([made[f"s{i}"] or 1.0 for i in range(len(columns))])
-    sd[sd == 0] = 1.0
-    rows = df.where(F.col(column).isNotNull()).orderBy(F.xxhash64(key), key).limit(donors).select(*[F.col(c).cast("double") for c in columns]).collect()
-    table = np.array([[np.nan if v is None else v for v in r] for r in rows]).reshape(-1, len(columns))
-    shared = spark.sparkContext.broadcast((table, mean, sd))
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(_Nearest(shared, columns.index(column), k), f"`{key}` {kind}, valor double")
+    x = F.array(*[(F.col(c) - (made[f"m{i}"] or 0.0)) / (made[f"s{i}"] or 1.0) for i, c in enumerate(columns)])
+    need = df.where(F.col(column).isNull()).select(F.col(key).alias("k"), x.alias("x"), F.lit(0).cast("bigint").alias("grupo"))
+    have = df.where(F.col(column).isNotNull()).select(F.xxhash64(key).alias("orden"), x.alias("x"), F.lit(1).cast("bigint").alias("grupo"), F.col(column).alias("valor"))
+    filled = nearest(need, have, k, block).select(F.col("k").alias(key), F.aggregate("cerca", F.lit(0.0), lambda s, r: s + r["valor"], lambda s: s / F.size("cerca")).alias("valor"))
+    kept = df.select(key, F.col(column).alias("valor"))
+    return kept.where("valor is not null").unionByName(kept.where("valor is null").drop("valor").join(filled, key, "left"))
 
 
 # ---------------------------------------------------------------- outliers

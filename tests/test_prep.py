@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 
 import __spark_entry__
@@ -35,3 +38,19 @@ def test_keys_without_a_partner(spark):
     both, left, right = [(2, "y", "p"), (2, "y", "q")], [(1, "x", None), (None, "z", None)], [(3, None, "r")]
     assert made == {h: sorted(both + left * (h in ("left", "outer")) + right * (h in ("right", "outer")), key=str) for h in made}
     assert tuple(P.key_report(a, b, "k").first()) == (2, 2, 1, 1, 1)
+
+
+@pytest.mark.parametrize("rows, block", [(300, 37), (24_000, 10_000)])
+def test_imputed_values_come_from_the_nearest_of_all_rows(spark, rows, block):
+    r = random.Random(1)
+    data = [(i, None if i % (rows // 60) == 0 else r.random(), r.random() if r.random() > 0.1 else None, r.random()) for i in range(rows)]
+    df = spark.createDataFrame(data, "id long, v double, a double, b double")
+    made = {x["id"]: x["valor"] for x in P.impute_knn(df, "id", "v", ["a", "b"], **({"block": block} if block < 10_000 else {})).collect()}
+    m = np.array([[np.nan if x is None else x for x in d[1:]] for d in data])
+    z = (m - np.nanmean(m, axis=0)) / np.nanstd(m, axis=0, ddof=1)
+    donors = np.flatnonzero(~np.isnan(m[:, 0]))
+    assert len(made) == rows and all(made[i] == data[i][1] for i in donors)
+    for i in set(range(rows)) - {*donors.tolist()}:
+        gap = z[donors] - z[i]
+        d = np.nansum(gap**2, axis=1) * 3 / (~np.isnan(gap)).sum(axis=1)
+        assert made[i] == pytest.approx(m[donors[np.argsort(d)[:5]], 0].mean())
