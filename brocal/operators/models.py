@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator, RegressionEvaluator
 from pyspark.ml.feature import PCA, Imputer, MinMaxScaler, StandardScaler, VectorAssembler
@@ -15,7 +16,9 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brocal.operators.neighbours import nearest
 from brocal.operators.ranking import balance, split
+from brocal.session import cut
 
 SEED = 42
 SPAM_FEATURES = ("posts_count", "avg_text_length", "avg_hashtags_per_post", "unique_texts_ratio", "days_active", "posts_per_day", "likes_given", "likes_received", "followers_count", "following_count", "follow_ratio")
@@ -175,26 +178,99 @@ def wrapper(df: DataFrame, key: str, columns: Sequence[str], label: str, most: i
     return df.sparkSession.createDataFrame(rows, "paso int, columna string, auc double")
 
 
-def label_noise(df: DataFrame, key: str, columns: Sequence[str], label: str, how: str = "EF", folds: int = 3, rounds: int = 3) -> DataFrame:
-    """`key` of rows whose label out-of-fold models contradict: all of three kinds (EF), most trees (CVCF), or repeated until no more is found (IPF)."""
-    d = df.select(key, F.col(label).cast("int").alias("label"), *columns).fillna(0, list(columns))
-    d = d.withColumn("fold", F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(folds)).cast("int"))
-    d = MinMaxScaler(inputCol="v", outputCol="features").fit(a := VectorAssembler(inputCols=list(columns), outputCol="v").transform(d)).transform(a).select(key, "label", "fold", "features").cache()
-    kinds = (lambda: DecisionTreeClassifier(maxDepth=5, seed=SEED), lambda: NaiveBayes(), lambda: LogisticRegression(maxIter=30)) if how != "CVCF" else tuple((lambda s=s: DecisionTreeClassifier(maxDepth=4 + s, seed=s)) for s in range(3))
-    found = None
-    for _ in range(rounds if how == "IPF" else 1):
-        rest = d if found is None else d.join(found, key, "left_anti")
-        votes = []
-        for f in range(folds):
-            for make in kinds:
-                p = make().fit(rest.where(F.col("fold") != f)).transform(rest.where(F.col("fold") == f))
-                votes.append(p.select(key, (F.col("prediction") != F.col("label")).cast("int").alias("wrong")))
-        wrong = reduce(DataFrame.unionByName, votes).groupBy(key).agg(F.sum("wrong").alias("w"))
-        new = wrong.where(F.col("w") >= (3 if how == "EF" else 2)).select(key).cache()
+def _folds(key: str, folds: int, salt: int):
+    return F.pmod(F.xxhash64(F.col(key), F.lit(SEED + salt)), F.lit(folds)).cast("bigint")
+
+
+def _tree_errors(d: DataFrame, key: str, folds: int, salt: int, classes: int) -> list[DataFrame]:
+    """`key`, wrong: rows by fold, judged by a tree that is grown from the other folds."""
+    kinds = {"ml_attr": {"type": "nominal", "vals": [str(c) for c in range(classes)]}}  # a fold may lack a class
+    d = d.select(key, F.col("label").alias("label", metadata=kinds), "features", _folds(key, folds, salt).alias("fold"))
+    out = []
+    for (f,) in d.select("fold").distinct().orderBy("fold").collect():
+        p = DecisionTreeClassifier(maxDepth=5, seed=SEED).fit(d.where(F.col("fold") != f)).transform(d.where(F.col("fold") == f))
+        out.append(p.select(key, (F.col("prediction") != F.col("label")).cast("int").alias("wrong")))
+    return out
+
+
+def _neighbour_errors(d: DataFrame, key: str, folds: int) -> DataFrame:
+    """`key`, wrong: rows judged by the nearest row of all in other folds."""
+    x = vector_to_array("features").alias("x")
+    q = d.select(F.col(key).alias("k"), x, _folds(key, folds, 0).alias("grupo"), "label")
+    t = d.select(F.xxhash64(key).alias("orden"), x, _folds(key, folds, 0).alias("grupo"), F.col("label").alias("valor"))
+    best = nearest(q.drop("label"), t, 1).select("k", F.col("cerca")[0]["valor"].alias("p"))
+    return q.join(best, "k").select(F.col("k").alias(key), (F.col("p") != F.col("label")).cast("int").alias("wrong"))
+
+
+def _discriminant_errors(d: DataFrame, key: str, folds: int) -> DataFrame:
+    """`key`, wrong: rows judged by a linear discriminant of the other folds, from sums by fold and class."""
+    d = d.select(key, "label", vector_to_array("features").alias("x"), _folds(key, folds, 0).alias("fold"))
+    n = len(d.first()["x"])
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    sums = d.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(n)]).alias("s"), F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in pairs]).alias("ss")).collect()
+    rules = []
+    for f in sorted({r["fold"] for r in sums}):
+        rest, within, total = {}, np.zeros((n, n)), 0
+        for c in sorted({r["label"] for r in sums if r["fold"] != f}):
+            of = [r for r in sums if r["fold"] != f and r["label"] == c]
+            m, mean = sum(r["n"] for r in of), sum(np.array(r["s"]) for r in of) / sum(r["n"] for r in of)
+            square = np.zeros((n, n))
+            for (i, j), v in zip(pairs, sum(np.array(r["ss"]) for r in of)):
+                square[i, j] = square[j, i] = v
+            rest[c], within, total = (m, mean), within + square - m * np.outer(mean, mean), total + m
+        inverse = np.linalg.pinv(within / max(1, total - len(rest)), hermitian=True)
+        for c, (m, mean) in rest.items():
+            w = inverse @ mean
+            rules.append((int(f), float(c), [float(v) for v in w], float(np.log(m / total) - mean @ w / 2)))
+    scored = d.join(F.broadcast(d.sparkSession.createDataFrame(rules, "fold bigint, c double, w array<double>, b double")), "fold")
+    score = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.col("b"), lambda a, b: a + b)
+    return scored.groupBy(key, "label").agg(F.max_by("c", F.struct(score, -F.col("c"))).alias("p")).select(key, (F.col("p") != F.col("label")).cast("int").alias("wrong"))
+
+
+def label_noise(df: DataFrame, key: str, columns: Sequence[str], label: str, how: str = "EF", k: int = 5) -> DataFrame:
+    """`key` of rows whose label models of the other of k folds contradict.
+
+    EF: a tree, the nearest row and a linear discriminant all do.  CVCF: more
+    than half of k trees, each with folds of its own.  IPF: CVCF over what is
+    left, until no more is found.
+    """
+    d = df.select(key, F.col(label).cast("int").cast("double").alias("label"), *columns).fillna(0, list(columns))
+    d = MinMaxScaler(inputCol="v", outputCol="features").fit(a := VectorAssembler(inputCols=list(columns), outputCol="v").transform(d)).transform(a).select(key, "label", "features").cache()
+    found = d.select(key).limit(0)
+    while True:
+        rest = d.join(found, key, "left_anti").cache()
+        labels = rest.agg(F.count_distinct("label").alias("n"), F.max("label").alias("most")).first()
+        if labels["n"] < 2:
+            break
+        classes = int(labels["most"]) + 1
+        if how == "EF":
+            votes, most = [*_tree_errors(rest, key, k, 0, classes), _neighbour_errors(rest, key, k), _discriminant_errors(rest, key, k)], 2
+        else:
+            votes, most = [v for i in range(k) for v in _tree_errors(rest, key, k, i, classes)], k / 2
+        new = cut(reduce(DataFrame.unionByName, votes).groupBy(key).agg(F.sum("wrong").alias("w")).where(F.col("w") > most).select(key))
+        rest.unpersist()
         if new.isEmpty():
             break
-        found = new if found is None else found.unionByName(new)
-    return found if found is not None else d.select(key).limit(0)
+        found = cut(found.unionByName(new))
+        if how != "IPF":
+            break
+    return found
+
+
+def flip_labels(df: DataFrame, key: str, label: str, share: float) -> DataFrame:
+    """`df` with the 0/1 label of a share of the rows turned round, the first by hash; volteada marks them."""
+    n = round(df.count() * share)
+    chosen = df.select(key).orderBy(F.xxhash64(F.col(key), F.lit(SEED)), key).limit(n).withColumn("volteada", F.lit(True))
+    d = df.join(chosen, key, "left").withColumn("volteada", F.coalesce("volteada", F.lit(False)))
+    return d.withColumn(label, F.when(F.col("volteada"), 1 - F.col(label).cast("int")).otherwise(F.col(label).cast("int")))
+
+
+def noise_check(df: DataFrame, key: str, columns: Sequence[str], label: str, how: str = "EF", share: float = 0.1, k: int = 5) -> dict:
+    """What a filter finds of labels turned round on purpose."""
+    d = flip_labels(df, key, label, share).cache()
+    r = d.select(key, "volteada").join(label_noise(d, key, columns, label, how, k).withColumn("ruido", F.lit(True)), key, "left").agg(F.count_if("volteada").alias("injected"), F.count_if("ruido").alias("detected"), F.count_if(F.col("volteada") & F.col("ruido")).alias("tp")).first()
+    p, q = r["tp"] / max(1, r["detected"]), r["tp"] / max(1, r["injected"])
+    return {"injected": r["injected"], "detected": r["detected"], "true_positives": r["tp"], "false_positives": r["detected"] - r["tp"], "false_negatives": r["injected"] - r["tp"], "precision": p, "recall": q, "f1": 2 * p * q / max(1e-12, p + q)}
 
 
 def studio(df: DataFrame, key: str, columns: Sequence[str], label: str, config: dict) -> dict:
