@@ -51,3 +51,13 @@ def test_repeated_filter_goes_on_until_nothing_is_found(marked, monkeypatch):
     monkeypatch.setattr(M, "_tree_errors", one_at_a_time)
     assert sorted(r[0] for r in M.label_noise(marked, "id", ["a", "b"], "y", "IPF", 3).collect()) == list(range(6))
     assert rounds == [0, 1, 2] * 7
+
+
+def test_registered_map_has_all_complete_rows(spark):
+    import __spark_entry__
+    from brocal.plans.prep import NUM
+
+    data = "/root/testdata/sf0.001"
+    complete = spark.read.parquet(f"{data}/robots.parquet").dropna(subset=NUM).count()
+    assert 300 < complete < 2000
+    assert __spark_entry__.queries()["ml_tsne"](spark, data).count() == complete
