@@ -309,11 +309,9 @@ def learn_merges(words: list[tuple[str, int]], merges: int) -> list[tuple[str, s
     return out
 
 
-def train_bpe(df: DataFrame, merges: int = 500, key: str = "doc_id", most_words: int = 200_000) -> tuple[list[tuple[str, str]], dict[str, int]]:
-    """Merges and vocabulary of a corpus, from its `most_words` most frequent words (a bound on what the driver holds), in order of first occurrence."""
-    rows = word_table(df, key).orderBy(F.desc("veces"), "primera").limit(most_words).collect()
-    rows.sort(key=lambda r: tuple(r["primera"]))
-    words = [(r["palabra"], r["veces"]) for r in rows]
+def train_bpe(df: DataFrame, merges: int = 500, key: str = "doc_id") -> tuple[list[tuple[str, str]], dict[str, int]]:
+    """Merges and vocabulary of a corpus, from all of its words in order of first occurrence (the driver holds the distinct words)."""
+    words = [(r["palabra"], r["veces"]) for r in word_table(df, key).orderBy("primera").select("palabra", "veces").toLocalIterator()]
     made = learn_merges(words, merges)
     tokens = sorted({c for w, _ in words for c in w} | ({END} if words else set())) + [a + b for a, b in made]
     return made, {t: i for i, t in enumerate(dict.fromkeys(tokens))}

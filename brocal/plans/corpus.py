@@ -18,13 +18,13 @@ def q(f):
 
 
 def bpe_merges(spark, sf):
-    merges, _ = C.train_bpe(docs(spark, sf), 200)
+    merges, _ = C.train_bpe(docs(spark, sf))
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "i int, a string, b string")
 
 
 def bpe_ids(spark, sf):
     d = docs(spark, sf)
-    return C.encode_bpe(d, *C.train_bpe(d, 200))
+    return C.encode_bpe(d, *C.train_bpe(d))
 
 
 def generated(spark, sf):
