@@ -99,13 +99,14 @@ def instants(df: DataFrame, text: str, zone: str | None, arrived: str | None, ou
     Null results: null or empty text, text in no notation, fields out of range
     (month 13, February 30, 24:00, second 60, 13 pm, offsets over 18 hours),
     a zone that is not in the tz database, numbers and relative times where
-    `arrived` is null.  Very long texts match nothing.  Other columns of `df`,
-    whatever their names, stay as they are; a column named `out` is replaced.
+    `arrived` is null.  Texts may be of any length: the alternation is anchored
+    and has no nested repetition, so one that fits nothing fails at the first
+    character that doesn't.  Other columns of `df`, whatever their names, stay
+    as they are; a column named `out` is replaced.
     """
     raw = F.trim(df[text], F.lit(BLANKS))
-    # only short texts can match
     packed = _SPLIT.join("".join(f"${{{n}{p}}}" for n in NOTATIONS if f"(?<{n}{p}>" in NOTATIONS[n]) for p in PARTS)
-    fields = F.split(F.when(F.length(raw).between(1, 64), F.regexp_replace(raw, F.lit(ALTERNATION), F.lit(packed))), _SPLIT)
+    fields = F.split(F.when(~F.contains(raw, F.lit(_SPLIT)), F.regexp_replace(raw, F.lit(ALTERNATION), F.lit(packed))), _SPLIT)
     own = [F.col(f"`{c}`") for c in df.columns if c != out]
     zone_text = F.trim(df[zone], F.lit(BLANKS)) if zone else F.lit(None).cast("string")
     into = F.unix_micros(df[arrived].cast("timestamp")) if arrived else F.lit(None).cast("bigint")

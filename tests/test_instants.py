@@ -28,6 +28,11 @@ CASES = [
     ("1771171380123456789", None, 1771171380123456), ("12", None, None), ("99999999999999999999", None, None), ("hace 3 horas", None, us(2026, 4, 19, 9)), ("Hace 120 días", None, us(2025, 12, 20, 12)),
     ("hace un rato", None, None), ("pendiente", None, None), ("", None, None), (None, None, None), ("0000-00-00 00:00:00", None, None), ("2026-13-01T00:00:00Z", None, None), ("2026-01-01T24:00:00Z", None, None), ("2026-01-01T00:00:60Z", None, None),
     ("2026-01-01T00:00:00+19:00", None, None), ("x" * 100_000, None, None),
+    # the longest of each notation, and separators of our own inside
+    ("2024-03-01T10:00:00.123456789-03:00[America/Argentina/Buenos_Aires]", None, us(2024, 3, 1, 13, 0, 0, 123456)), ("2024-03-01T10:00:00.123456789012 [America/Argentina/ComodRivadavia]", None, us(2024, 3, 1, 13, 0, 0, 123456)),
+    ("20240301T100000.123456789012-0300[America/Argentina/Buenos_Aires]", None, us(2024, 3, 1, 13, 0, 0, 123456)), ("03/01/2024" + " " * 60 + "10:00:00.123456789012 p.m. [America/Argentina/Buenos_Aires]", None, us(2024, 3, 2, 1, 0, 0, 123456)),
+    ("01-03-2024" + " " * 60 + "10:00:00.123456789012-03:00[America/Argentina/Buenos_Aires]", None, us(2024, 3, 1, 13, 0, 0, 123456)), ("miércoles," + " " * 40 + "1 de septiembre de 2024, " + " " * 40 + "10:00:00,123456789012 [America/Argentina/Buenos_Aires]", None, us(2024, 9, 1, 13, 0, 0, 123456)),
+    ("-1234567890123456789.123456789012", None, None), ("hace" + " " * 50 + "999999 segundos", None, us(2026, 4, 19, 12) - 999_999_000_000), ("2026\x1f01", None, None), ("\x1f" * 20, None, None), ("8" + " " * 200_000 + "x", None, None),
 ]
 
 
