@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brocal.llm.prose import parts, words
+from brocal.llm.prose import parts, raw_words, words
 from brocal.session import cut, ship
 
 #: Labelled documents from which the lexicon is fitted, at most; and the longest of them, in characters.
@@ -33,30 +33,35 @@ ROUNDS = 60
 WIDTHS = (len(SHARES), 3, 3, 3)
 
 
+#: Terms that a task counts before it hands them on; characters of documents whose sentences are judged at once.
+HELD, AT_ONCE = 300_000, 2_000_000
+
+
 def terms(tokens: list[str]) -> list[str]:
     return tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])]
 
 
 def count_terms(subjects: list[str]):
+    """term, known (places of the subjects of a document), n (such documents that have the term)."""
     place = {s: i for i, s in enumerate(subjects)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+        total: dict[tuple[int, ...], Counter] = {}
+
+        def handed_on() -> pa.RecordBatch:
+            rows = [(t, list(known), n) for known, c in total.items() for t, n in c.items()]
+            total.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.int64())], ["term", "known", "n"])
+
         for b in batches:
             for text, labels in zip(b.column("text").to_pylist(), b.column("labels").to_pylist()):
-                known = [place[x] for x in labels if x in place]
-                if not text or not known:
-                    continue
-                own = np.zeros(len(subjects))
-                own[known] = 1 / len(known)
-                for t in {t for s in parts(text)[0] for t in terms(words(s))}:
-                    if t in total:
-                        total[t] += own
-                    else:
-                        total[t] = own.copy()
+                known = tuple(sorted(place[x] for x in labels if x in place))
+                if text and known:
+                    total.setdefault(known, Counter()).update({t for s in parts(text)[0] for t in terms(words(s))})
+                    if sum(map(len, total.values())) > HELD:
+                        yield handed_on()
         if total:
-            m = np.array(list(total.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(total)), *[pa.array(m[:, i]) for i in range(len(subjects))]], ["term", *[f"n{i}" for i in range(len(subjects))]])
+            yield handed_on()
 
     return run
 
@@ -78,61 +83,98 @@ def lexicon_of(rows: list, subjects: int) -> dict[str, tuple[int, float]]:
     return out
 
 
+class _Ids(dict):
+    """Numbers of the words of the lexicon by word as written, 0 for others; emptied when there are many."""
+
+    MOST = 500_000
+
+    def __init__(self, known: dict[str, int]):
+        self.known = known
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        got = self[word] = self.known.get(word if word.isascii() else words(word)[0], 0)
+        return got
+
+
 class Voter:
     """The labelling functions."""
 
     def __init__(self, lexicon: dict[str, tuple[int, float]], subjects: int, sources: dict[str, list[int]]):
         self.lexicon, self.n, self.sources = lexicon, subjects, sources
-
-    def subject(self, sentence: str) -> int:
-        """The subject that a sentence is about, or -1."""
-        found = [0.0] * self.n
-        get = self.lexicon.get
-        last = None
-        for w in words(sentence):
-            hit = get(w)
-            if hit:
-                found[hit[0]] += hit[1]
-            if last is not None:
-                hit = get(f"{last} {w}")
-                if hit:
-                    found[hit[0]] += hit[1]
-            last = w
-        top = max(found)
-        return found.index(top) if top > SENTENCE else -1
-
-    def __call__(self, text: str, title: str | None, source: str | None) -> list[tuple[int, int]]:
-        """(subject, pattern of votes) of each subject of which there is any prose."""
-        prose, headings, addresses = parts(text)
-        room = [0] * self.n
-        seen: dict[str, int] = {}
-        for s in prose:
-            k = seen.get(s)
-            if k is None:
-                k = seen[s] = self.subject(s)
-            if k >= 0:
-                room[k] += len(s)
-        total = sum(room)
-        if not total:
-            return []
-        titled = {k for h in [*headings, title or ""] if h and (k := self.subject(h)) >= 0}
-        addressed = Counter(h[0] for a in addresses for w in words(a) if (h := self.lexicon.get(w)))
-        usual = self.sources.get(source or "", None)
-        out = []
-        for k, r in enumerate(room):
-            if r:
-                share = r / total
-                votes = (
-                    next(i for i, top in enumerate(SHARES) if share < top),
-                    2 if k in titled else 1,
-                    2 if addressed[k] else 1,
-                    1 if usual is None else usual[k],
-                )
-                pattern = 0
-                for v, width in zip(votes, WIDTHS):
-                    pattern = pattern * width + v
-                out.append((k, pattern))
-        return out
+        number = {w: i + 1 for i, w in enumerate(sorted({w for t in lexicon for w in t.split(" ")}))}
+        self.ids, self.size = _Ids(number), len(number) + 1
+        self.one = np.zeros(self.size, np.int64), np.zeros(self.size)
+        pair = []
+        for t, (k, w) in lexicon.items():
+            a, _, b = t.partition(" ")
+            if b:
+                pair.append((number[a] * self.size + number[b], k, w))
+            else:
+                self.one[0][number[a]], self.one[1][number[a]] = k, w
+        pair.sort()
+        self.pairs = np.array([x[0] for x in pair], np.int64), np.array([x[1] for x in pair], np.int64), np.array([x[2] for x in pair])
+
+    def subjects(self, sentences: list[str]) -> list[int]:
+        """The subject that each sentence is about, or -1."""
+        ids, ends = [], []
+        for s in sentences:
+            ids += map(self.ids.__getitem__, raw_words(s))
+            ids.append(0)
+            ends.append(len(ids))
+        if not ids or not self.n:
+            return [-1] * len(sentences)
+        ids = np.array(ids, np.int64)
+        owner = np.repeat(np.arange(len(ends)), np.diff([0, *ends])) * self.n
+        k, w = self.one
+        found = np.bincount(owner + k[ids], w[ids], len(ends) * self.n)
+        keys, pk, pw = self.pairs
+        if len(keys):
+            both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+            key = ids[both] * self.size + ids[both + 1]
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[at] == key
+            found += np.bincount(owner[both[hit]] + pk[at[hit]], pw[at[hit]], len(ends) * self.n)
+        found = found.reshape(len(ends), self.n)
+        best = found.argmax(axis=1)
+        return np.where(found[np.arange(len(ends)), best] > SENTENCE, best, -1).tolist()
+
+    def __call__(self, documents: list[tuple[str, str | None, str | None]]) -> Iterator[list[tuple[int, int]]]:
+        """Per document (text, title, source): (subject, pattern of votes) of each subject of which there is any prose."""
+        number: dict[str, int] = {}
+        cut = []
+        for text, title, _ in documents:
+            prose, headings, addresses = parts(text)
+            cut.append(([number.setdefault(s, len(number)) for s in prose], [number.setdefault(h, len(number)) for h in [*headings, title or ""] if h], addresses))
+        about, size = self.subjects(list(number)), [len(s) for s in number]
+        for (_, _, source), (prose, headings, addresses) in zip(documents, cut):
+            room = [0] * self.n
+            for i in prose:
+                if about[i] >= 0:
+                    room[about[i]] += size[i]
+            total = sum(room)
+            if not total:
+                yield []
+                continue
+            titled = {about[i] for i in headings}
+            addressed = Counter(h[0] for a in addresses for w in words(a) if (h := self.lexicon.get(w)))
+            usual = self.sources.get(source or "", None)
+            out = []
+            for k, r in enumerate(room):
+                if r:
+                    share = r / total
+                    votes = (
+                        next(i for i, top in enumerate(SHARES) if share < top),
+                        2 if k in titled else 1,
+                        2 if addressed[k] else 1,
+                        1 if usual is None else usual[k],
+                    )
+                    pattern = 0
+                    for v, width in zip(votes, WIDTHS):
+                        pattern = pattern * width + v
+                    out.append((k, pattern))
+            yield out
 
 
 def unpack(pattern: int) -> tuple[int, ...]:
@@ -148,15 +190,25 @@ class _Vote:
         self.broadcast = broadcast
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voter = Voter(*self.broadcast.value)
+        voter = getattr(self.broadcast, "voter", None)
+        if voter is None:
+            # the worker keeps the broadcast, so all its tasks share one voter
+            voter = self.broadcast.voter = Voter(*self.broadcast.value)
         for b in batches:
+            texts, titles, sources = (b.column(c).to_pylist() for c in ("text", "title", "source"))
             rows, subject, pattern = [], [], []
-            for i, (text, title, source) in enumerate(zip(b.column("text").to_pylist(), b.column("title").to_pylist(), b.column("source").to_pylist())):
+            held, size = [], 0
+            for i, text in enumerate([*texts, None]):
                 if text:
-                    for k, p in voter(text, title, source):
-                        rows.append(i)
-                        subject.append(k)
-                        pattern.append(p)
+                    held.append(i)
+                    size += len(text)
+                if held and (size >= AT_ONCE or i == len(texts)):
+                    for j, votes in zip(held, voter([(texts[j], titles[j], sources[j]) for j in held])):
+                        for k, p in votes:
+                            rows.append(j)
+                            subject.append(k)
+                            pattern.append(p)
+                    held, size = [], 0
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(subject, pa.int32()), pa.array(pattern, pa.int32())], [b.schema.names[0], "k", "patron"])
 
 
@@ -232,8 +284,9 @@ def subject_posteriors(documents: DataFrame, subjects: DataFrame, labels: DataFr
     sample = docs.join(F.broadcast(chosen), key).where(F.length("text") <= SAMPLE_CHARS)
     held = F.pmod(F.xxhash64(F.lit("held"), F.col(key)), F.lit(HELD_BACK)) == 0
     columns = [f"n{i}" for i in range(len(names))]
-    counted = sample.where(~held).select("text", "labels").repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(count_terms(names), "term string, " + ", ".join(f"{c} double" for c in columns))
-    counted = counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in columns])
+    share = F.col("n") / F.size("known")
+    counted = sample.where(~held).select("text", "labels").repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(count_terms(names), "term string, known array<int>, n long")
+    counted = counted.groupBy("term").agg(*[F.sum(F.when(F.array_contains("known", F.lit(i)), share).otherwise(0.0)).alias(c) for i, c in enumerate(columns)])
     lexicon = lexicon_of(counted.where(sum(F.col(c) for c in columns) >= LEAST - 0.01).collect(), len(names)) if names else {}
 
     usual: dict[str, list[int]] = {}
