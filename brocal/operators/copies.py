@@ -65,6 +65,21 @@ def keep_one(
     return kept.select(*[F.col("__row").getField(c).alias(c) for c in payload], *(["copies"] if count else []))
 
 
+def keep_values(df: DataFrame, keys: dict[str, Column], row_id: str, values: Sequence[str]) -> DataFrame:
+    """`keep_one` for values of fixed width: the copy with the least `row_id` (a unique number), as its `keys`, `row_id` and `values`.
+
+    One min_by for each value, as their buffers are of fixed width, so the
+    aggregation is by hash in both steps.  Rows with a null in their
+    identifier are copies of nothing, as there.
+    """
+    whole = F.lit(True)
+    for c in keys.values():
+        whole = whole & c.isNotNull()
+    rows = df.select(*[c.alias(f"__k{i}") for i, c in enumerate(keys.values())], F.when(~whole, F.col(f"`{row_id}`")).alias(ALONE), F.col(f"`{row_id}`").alias("__id"), *[F.col(f"`{v}`").alias(f"__v{i}") for i, v in enumerate(values)])
+    kept = rows.groupBy(*[f"__k{i}" for i in range(len(keys))], ALONE).agg(F.min("__id").alias("__id"), *[F.min_by(f"__v{i}", "__id").alias(f"__v{i}") for i in range(len(values))])
+    return kept.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], F.col("__id").alias(row_id), *[F.col(f"__v{i}").alias(v) for i, v in enumerate(values)])
+
+
 def surplus_copies(df: DataFrame, keys: Sequence[Column | str], order: Sequence[str], row_id: str) -> DataFrame:
     """The `row_id` of every row that `keep_one` leaves out.
 

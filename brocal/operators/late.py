@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brocal.operators.finger import EMPTY, FingerTree, merge
+from brocal.operators.finger import EMPTY, GONE, FingerTree
 from brocal.session import cut, partitions, ship
 
 MINUTE = 60_000_000
+HOUR = 60 * MINUTE
 #: Event time that one tree covers, in microseconds; a source's periods are spread over tasks by it.
-SPAN = 60 * MINUTE
+SPAN = 6 * HOUR
+#: Event time of one key of a tree.
+GRAIN = MINUTE
 #: Batches up to which their marks are broadcast (24 bytes each).
 BROADCAST_BATCHES = 1_000_000
 SEP = "\x1f"
@@ -48,13 +52,18 @@ def late_corrections(
     cutoff: int = 15 * MINUTE,
     emit: str = "rows",
 ) -> DataFrame:
-    """Replay the rows of each source in order of arrival into a finger B-tree keyed by period of event time.
+    """Replay the rows of each source in order of arrival into a finger B-tree keyed by event time.
 
     Before a batch, S is the greatest event time of all earlier batches
     (`marks`, from `high_marks`, over all rows that were delivered).  A period
-    that ends at E is published when S >= E + `publish` and evicted when
-    S >= E + `cutoff`.  A row of the batch then corrects a published period,
-    comes too late for an evicted one, or is in time.
+    that ends at E is published when S >= E + `publish` and cut off the tree
+    when S >= E + `cutoff`.  A row of the batch goes into the tree, and the
+    insert says what it met: an open part (in time), a published one (the row
+    corrects it) or one that was cut off (it comes too late).
+
+    The keys of a tree are a GRAIN each.  What is published of a period, and
+    its final state, are put together from the partials of the subtrees in
+    it, which every late row has brought up to date on its way up.
 
     emit="rows": `row_id`, destino (corrige, descartada) of the rows that are
     not in time.  emit="periods": per source and period, in micro-seconds of
@@ -63,7 +72,9 @@ def late_corrections(
     final_filas), values (_n), sum (_suma), least (_min) and greatest (_max);
     corrigen and descartadas count the rows.  At the end S is that of all
     rows; a period that it doesn't reach is not published: its primera_ columns
-    are null.
+    are null.  emit="hours": per source and hour the final state alone, as
+    final_, corrigen and descartadas: the tree keeps an hour until its last
+    period is closed and gives its aggregate in one piece.
 
     A tree covers one SPAN of a source, so a source with any share of the rows
     is spread over many tasks, with the same result, as periods don't reach
@@ -74,8 +85,8 @@ def late_corrections(
     of a batch see the same S.  Repeated rows count each time: take copies off
     before.  An empty table gives an empty result.
     """
-    if SPAN % period:
-        raise ValueError("the period must divide the span of a tree")
+    if SPAN % period or period % GRAIN:
+        raise ValueError("the period must divide the span of a tree, and be divided by its grain")
     spark = df.sparkSession
     ship(spark)
     marks = cut(high_marks(df, batch, ts) if marks is None else marks)
@@ -92,13 +103,17 @@ def late_corrections(
         *([F.col(f"`{value}`").cast("double").alias("valor")] if value else []),
     ).where(F.col("ts").isNotNull() & F.col(batch).isNotNull())
     span = F.floor(F.col("ts") / SPAN)
-    rows = rows.withColumn("tramo", span).repartition(partitions(spark), "fuente", "tramo")
-    rows = rows.join(marks, batch).sortWithinPartitions("fuente", "tramo", batch, "ts").select("fuente", "tramo", "ts", F.col(batch).cast("long").alias("lote"), "marca", "fila", *(["valor"] if value else []))
+    # the marks come first, as rows must be where their tree is in whichever way they are joined
+    rows = rows.join(marks, batch).withColumn("tramo", span).repartition(partitions(spark), "fuente", "tramo")
+    rows = rows.sortWithinPartitions("fuente", "tramo", batch, "ts").select("fuente", "tramo", "ts", F.col(batch).cast("long").alias("lote"), "marca", "fila", *(["valor"] if value else []))
     config = (period, publish, cutoff, known[1])
     if emit == "rows":
         id_type = df.schema[row_id].dataType.simpleString()
-        return rows.mapInArrow(_Replay(config, False), f"fila {id_type}, destino string").withColumnRenamed("fila", row_id)
-    out = rows.mapInArrow(_Replay(config, True), _PERIODS)
+        return rows.mapInArrow(_Replay(config, emit), f"fila {id_type}, destino string").withColumnRenamed("fila", row_id)
+    out = rows.mapInArrow(_Replay(config, emit), _PERIODS)
+    if emit == "hours":
+        # an hour of which rows came too late for its tree has one row for these alone
+        return merged_periods(out).select("fuente", "inicio_us", *[f"final_{p}" for p in _PARTIAL], "corrigen", "descartadas")
     return out
 
 
@@ -114,11 +129,11 @@ _PERIOD_SCHEMA = pa.schema(
 class _Replay:
     """Runs over a sorted partition; a tree lives as long as its source and span."""
 
-    def __init__(self, config, periods: bool):
-        self.config, self.periods = config, periods
+    def __init__(self, config, emit: str):
+        self.config, self.emit = config, emit
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        period, publish, cutoff, end = self.config
+        end, periods = self.config[3], self.emit != "rows"
         state = None
         last = None
         for b in batches:
@@ -132,8 +147,8 @@ class _Replay:
             last = (source[n - 1].as_py(), span[n - 1])
             ts, lote = b.column("ts").to_numpy(), b.column("lote").to_numpy()
             mark = pc.fill_null(b.column("marca"), np.iinfo(np.int64).min // 2).to_numpy()
-            start = ts // period * period
-            # rows of one batch and period enter the tree as one partial
+            start = ts // GRAIN * GRAIN
+            # rows of one batch and key enter the tree as one partial
             first = new.copy()
             first[1:] |= (lote[1:] != lote[:-1]) | (start[1:] != start[:-1])
             first[0] = True
@@ -149,28 +164,30 @@ class _Replay:
                     np.minimum.reduceat(np.where(ok, v, np.inf), at).tolist(),
                     np.maximum.reduceat(np.where(ok, v, -np.inf), at).tolist(),
                 ))
-            else:
+            elif periods:
                 parts = [(s, 0, 0.0, np.inf, -np.inf) for s in size.tolist()]
+            else:
+                parts = size.tolist()
             fate = np.zeros(len(at), np.int8)
             out: list = []
             for i, (fresh, key, s, part) in enumerate(zip(new[at].tolist(), start[at].tolist(), mark[at].tolist(), parts)):
                 if fresh:
-                    if state is not None and self.periods:
+                    if state is not None and periods:
                         state.finish(out, end)
-                    state = _State(source[int(at[i])].as_py() if self.periods else None, period, publish, cutoff)
+                    state = _State(source[int(at[i])].as_py() if periods else None, self.config, self.emit)
                 if s != state.mark:
-                    state.advance(s, out if self.periods else None)
+                    state.advance(s, out)
                 fate[i] = state.add(key, part)
-            if self.periods:
+            if periods:
                 if out:
                     yield _table(out)
             else:
                 per_row = np.repeat(fate, size)
                 late = np.flatnonzero(per_row)
                 if len(late):
-                    word = pa.array(np.where(per_row[late] == 2, DROPPED, CORRECTS))
+                    word = pa.array(np.where(per_row[late] == GONE, DROPPED, CORRECTS))
                     yield pa.RecordBatch.from_arrays([b.column("fila").take(pa.array(late)), word], ["fila", "destino"])
-        if self.periods and state is not None:
+        if periods and state is not None:
             out = []
             state.finish(out, end)
             if out:
@@ -178,48 +195,51 @@ class _Replay:
 
 
 class _State:
-    """One source and span: the tree of live periods, what was published of them, and what came too late."""
+    """One source and span: the tree of what isn't closed, what was published of it, and what came too late."""
 
-    __slots__ = ("source", "period", "publish", "cutoff", "tree", "mark", "shown", "closed", "first", "fixes", "lost")
+    __slots__ = ("source", "period", "publish", "cutoff", "emit", "unit", "tree", "mark", "first", "fixes", "lost")
 
-    def __init__(self, source, period, publish, cutoff):
-        self.source, self.period, self.publish, self.cutoff = source, period + 0, period + publish, period + cutoff
-        self.tree, self.mark = FingerTree(), None
-        self.shown = self.closed = None  # periods that start at or before them are published, evicted
+    def __init__(self, source, config, emit):
+        self.source, self.emit = source, emit
+        self.period, self.publish, self.cutoff = config[:3]
+        self.unit = HOUR if emit == "hours" else self.period
+        # a tree that only tells fates needs no more than counts
+        self.tree = FingerTree(add, 0) if emit == "rows" else FingerTree()
+        self.mark = None
         self.first: dict = {}
         self.fixes: dict = {}
         self.lost: dict = {}
 
     def advance(self, mark, out):
-        self.mark = mark
-        shown, closed = mark - self.publish, mark - self.cutoff
-        if out is not None:
-            for key, part in self.tree.entries(None if self.shown is None else self.shown + 1, shown + 1):
-                self.first[key] = part
-        self.shown, self.closed = shown, closed
-        gone = self.tree.evict(closed + 1) if self.tree.root.keys and (self.tree.root.keys[0] <= closed) else ()
-        if out is not None:
-            for key, part in gone:
-                out.append(self.row(key, part))
+        self.mark, tree = mark, self.tree
+        shown, closed = ((mark - wait) // self.period * self.period for wait in (self.publish, self.cutoff))
+        if shown > tree.shown:
+            self.first.update(tree.publish(shown, self.period if self.emit == "periods" else None))
+        if closed > tree.floor:
+            if self.emit == "rows":
+                tree.cut(closed)
+            else:
+                whole = closed // self.unit * self.unit
+                for key, part in tree.periods(-(1 << 62), whole, self.unit):
+                    out.append(self.row(key, part))
+                tree.cut(whole)
+                tree.floor = closed
 
     def row(self, key, part):
-        first = self.first.pop(key, EMPTY if self.shown is not None and key <= self.shown else None)
+        first = self.first.pop(key, EMPTY if key < self.tree.shown else None)
         return (self.source, key, first is not None, first, part, self.fixes.pop(key, 0), 0)
 
     def add(self, key, part) -> int:
-        """0 in time, 1 corrects, 2 too late."""
-        if key <= self.closed:
-            self.lost[key] = self.lost.get(key, 0) + part[0]
-            return 2
-        self.tree.insert(key, part)
-        if key <= self.shown:
-            self.fixes[key] = self.fixes.get(key, 0) + part[0]
-            return 1
-        return 0
+        met = self.tree.insert(key, part)
+        if met and self.emit != "rows":
+            of = self.lost if met == GONE else self.fixes
+            key = key // self.unit * self.unit
+            of[key] = of.get(key, 0) + part[0]
+        return met
 
     def finish(self, out, end):
         self.advance(end, out)
-        for key, part in self.tree.entries():
+        for key, part in self.tree.periods(-(1 << 62), 1 << 62, self.unit):
             out.append(self.row(key, part))
         for key, n in self.lost.items():
             out.append((self.source, key, True, EMPTY, EMPTY, 0, n))

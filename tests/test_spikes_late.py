@@ -2,10 +2,13 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+from brocal.operators import late as L
 from brocal.operators import spikes as S
-from brocal.operators.finger import EMPTY, FingerTree, merge
+from brocal.operators.finger import EMPTY, GONE, OPEN, PUBLISHED, FingerTree, merge
 from brocal.operators.late import MINUTE, high_marks, late_corrections, merged_periods
 
 T0 = datetime(2026, 1, 12)
@@ -112,3 +115,84 @@ def test_corrections_and_cut_off(spark):
     assert late_corrections(df.limit(0), source, "ts", "lote", "lectura_id").count() == 0
     assert [r["marca"] for r in high_marks(df, "lote", "ts").orderBy("lote").collect()][0] is None
     assert MINUTE == 60_000_000
+
+
+def _day(n=450_000):
+    """One source-day whose noise changes within the day, with excursions and stuck runs, as sorted readings."""
+    r = np.random.default_rng(3)
+    x = 50 + r.normal(size=n) * np.where(np.arange(n) < n // 2, 1.0, 4.0)
+    x[r.integers(20, n - 20, 300)] += 40
+    x[1000:1010] = x[199_990:200_010] = 51.0
+    return x
+
+
+def _judged(x, size):
+    n = len(x)
+    t = pa.table({"fuente": pa.array(np.full(n, 7)), "dia": pa.array(np.zeros(n, np.int64)), "ts": np.arange(n), "fila": np.arange(n), "copias": np.ones(n, np.int64), "valor": x, "marca": pa.array(np.zeros(n, np.int8))})
+    rows = pa.Table.from_batches(list(S.judge_pieces(iter(t.to_batches(max_chunksize=size)))))
+    sure = rows.filter(pc.equal(rows["clase"], S.OUT))["fila"].to_pylist()
+    rest = rows.filter(pc.not_equal(rows["clase"], S.OUT)).sort_by([("ts", "ascending")]).combine_chunks()
+    got = pa.Table.from_batches(list(S._JudgeSources(True)(iter(rest.to_batches()))))
+    s = next(v for v in got["dispersion"].to_pylist() if v is not None)
+    stand = [f for row in rows.filter(pc.equal(rows["clase"], S.PIECES)).to_pylist() for k in "cr" for f, d in zip(row[f"{k}_fila"], row[f"{k}_lejos"]) if d > S.TIMES * s]
+    return sorted(sure + stand + [f for f in got["fila"].to_pylist() if f is not None]), s
+
+
+def test_a_large_day_gives_the_same_rows_however_it_is_cut(monkeypatch):
+    x = _day()
+    first = _judged(x, 10_000)
+    assert len(first[0]) >= 300 and set(range(199_990, 200_010)) <= set(first[0])
+    assert _judged(x, 17_000) == first
+    for most in (10**9, 30_000, 777):
+        monkeypatch.setattr(S, "MOST", most)
+        assert _judged(x, 10_000) == first
+
+
+def test_days_of_large_sources_are_sliced_with_the_same_rows(spark, monkeypatch):
+    v = noise(3000)
+    for i in (5, 700, 1438, 1439, 1440, 2879, 2990):
+        v[i] = 90.0
+    expected = found(spark, series(v))
+    monkeypatch.setattr(S, "hot_limit", lambda n: 50)
+    assert found(spark, series(v)) == expected == [5, 700, 1438, 1439, 1440, 2879, 2990]
+
+
+def test_a_late_insert_looks_into_few_nodes_and_a_cut_into_one_a_level():
+    tree = FingerTree()
+    for i in range(10_000):
+        assert tree.insert(i, (1, 0, 0.0, 0.0, 0.0)) == OPEN
+    assert tree.visits == 10_000  # the finger alone
+
+    def visits(f, *a):
+        before = tree.visits
+        f(*a)
+        return tree.visits - before
+
+    assert visits(tree.insert, 4321, (1, 0, 0.0, 0.0, 0.0)) <= 16 and visits(tree.between, 100, 9000) <= 30
+    assert tree.publish(60, 30)[0] == (0, (30, 0, 0.0, 0.0, 0.0)) and tree.insert(59, (1, 0, 0.0, 0.0, 0.0)) == PUBLISHED and tree.insert(60, (1, 0, 0.0, 0.0, 0.0)) == OPEN
+    assert visits(tree.cut, 9000) <= 10 and tree.insert(8999, (1, 0, 0.0, 0.0, 0.0)) == GONE and tree.root.total[0] == 1000
+    assert tree.seek(0) == 9000 and tree.seek(10_000) is None and tree.cut(10**6)[0] == 1000 and list(tree.entries()) == []
+
+
+def test_marks_that_are_too_many_to_broadcast_leave_one_tree_a_span(spark, monkeypatch):
+    r = random.Random(2)
+    rows = [(i, f"r{i % 3}", "t", T0 + timedelta(minutes=max(0, i // 6 - int(r.expovariate(0.2)))), float(i), i // 6) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    source = [F.col("robot_id"), F.col("sensor")]
+
+    def parts():
+        return sorted(late_corrections(df, source, "ts", "lote", "lectura_id", "valor", emit="periods").collect())
+
+    small = parts()
+    hours = {(h["fuente"], h["inicio_us"]): h for h in late_corrections(df, source, "ts", "lote", "lectura_id", "valor", emit="hours").collect()}
+    by_hour: dict = {}
+    for p in small:
+        key = (p["fuente"], p["inicio_us"] // L.HOUR * L.HOUR)
+        by_hour[key] = tuple(a + b for a, b in zip(by_hour.get(key, (0, 0, 0, 0)), (p["final_filas"], p["final_suma"] or 0.0, p["corrigen"], p["descartadas"])))
+    assert by_hour == {k: (h["final_filas"], h["final_suma"], h["corrigen"], h["descartadas"]) for k, h in hours.items()}
+    monkeypatch.setattr(L, "BROADCAST_BATCHES", 0)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert parts() == small
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
