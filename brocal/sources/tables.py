@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brocal.sources import store
+
+#: The file that names the version of a table to read.
+POINTER = "_CURRENT"
 S, TS, L, DBL, B = T.StringType(), T.TimestampType(), T.LongType(), T.DoubleType(), T.BooleanType()
 
 
@@ -36,44 +39,51 @@ def read_lines(spark: SparkSession, path: str, name: str | None = None) -> DataF
     return reader.json(path)
 
 
+def _current(folder: str, name: str) -> str | None:
+    """The version of a table of a layer that its pointer names."""
+    version = store.read_text(f"{folder}/{name}/{POINTER}")
+    return f"{folder}/{name}/{version}" if version else None
+
+
 def read_layer(spark: SparkSession, folder: str, name: str, raw: str | None = None) -> DataFrame:
     """A table of a layer as parquet, or its raw file where the layer hasn't got it."""
-    path = Path(folder) / name
-    if path.exists():
-        return spark.read.parquet(str(path))
+    path = _current(folder, name)
+    if path:
+        return spark.read.parquet(path)
     return read_lines(spark, f"{raw or folder}/{name}.json", name if name in SCHEMAS else None)
 
 
 def write_layer(df: DataFrame, folder: str, name: str) -> str:
-    """Write beside the table, then put it in its place: a table may be read while it is written anew."""
-    root = Path(folder)
-    root.mkdir(parents=True, exist_ok=True)
-    new, old, at = root / f".{name}.new", root / f".{name}.old", root / name
-    df.write.mode("overwrite").parquet(str(new))
-    if at.exists():
-        at.rename(old)
-    new.rename(at)
-    if old.exists():
-        import shutil
-
-        shutil.rmtree(old)
-    return str(at)
+    """Write a new version beside the last, then name it in a pointer file: a table may be read while it is written anew.
+
+    No folder is renamed, so it holds on object stores too; a failure before
+    the pointer is written leaves the last version.  Readers of the version
+    before keep theirs: only older ones are deleted.
+    """
+    root = f"{folder}/{name}"
+    old = [v for v in store.names(root) if v.startswith("v")]
+    version = f"v{int(old[-1][1:]) + 1 if old else 0:08d}"
+    df.write.mode("overwrite").parquet(f"{root}/{version}")
+    store.write_text(f"{root}/{POINTER}", version)
+    for v in old[:-1]:
+        store.delete(f"{root}/{v}")
+    return f"{root}/{version}"
 
 
 def write_profile(profile: DataFrame, folder: str) -> None:
-    """A small profile as _profile.json beside the tables."""
-    rows = [r.asDict() for r in profile.limit(10_000).collect()]
-    Path(folder, "_profile.json").write_text(json.dumps(rows, ensure_ascii=False, default=str))
+    """A profile (a row for each column of a table) as _profile.json beside the tables."""
+    rows = [r.asDict() for r in profile.collect()]
+    store.write_text(f"{folder}/_profile.json", json.dumps(rows, ensure_ascii=False, default=str))
 
 
 def read_profile(folder: str) -> list[dict]:
-    p = Path(folder, "_profile.json")
-    return json.loads(p.read_text()) if p.exists() else []
+    text = store.read_text(f"{folder}/_profile.json")
+    return json.loads(text) if text else []
 
 
 def layers(root: str) -> dict[str, bool]:
     """Which of raw, silver, gold are there."""
-    return {name: (Path(root) / name).exists() for name in ("raw", "silver", "gold")}
+    return {name: store.exists(f"{root}/{name}") for name in ("raw", "silver", "gold")}
 
 
 def predicted(spark: SparkSession, folder: str, value: float = 1.0) -> DataFrame:

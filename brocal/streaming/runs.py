@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brocal.sources import store
+
 #: Readings as they arrive; the time is text until `typed`.
 READING = T.StructType([
     T.StructField("robot_id", T.StringType()), T.StructField("almacen", T.StringType()), T.StructField("sensor", T.StringType()),
@@ -64,25 +65,34 @@ class Upsert:
     """A sink that keeps the latest row of each key in a parquet table; the same batch twice changes nothing.
 
     Each version of the table is written beside the last and then named in a
-    pointer file, so a failure between leaves the last one.
+    pointer file, so a failure between leaves the last one; the version before
+    it stays for its readers, older ones are deleted.
     """
 
     def __init__(self, folder: str, keys: list[str]):
-        self.folder, self.keys = Path(folder), keys
+        self.folder, self.keys = folder, keys
+
+    def _version(self) -> str | None:
+        return store.read_text(f"{self.folder}/CURRENT")
 
     @property
     def current(self) -> str | None:
-        p = self.folder / "CURRENT"
-        return str(self.folder / p.read_text()) if p.exists() else None
+        version = self._version()
+        return f"{self.folder}/{version}" if version else None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        version, last = f"v{batch_id:08d}", self._version()
+        if last == version:
+            return
         new = batch
-        if self.current:
-            old = batch.sparkSession.read.parquet(self.current)
+        if last:
+            old = batch.sparkSession.read.parquet(f"{self.folder}/{last}")
             new = old.join(batch.select(*self.keys), self.keys, "left_anti").unionByName(batch)
-        version = f"v{batch_id:08d}"
-        new.write.mode("overwrite").parquet(str(self.folder / version))
-        (self.folder / "CURRENT").write_text(version)
+        new.write.mode("overwrite").parquet(f"{self.folder}/{version}")
+        store.write_text(f"{self.folder}/CURRENT", version)
+        for v in store.names(self.folder):
+            if v.startswith("v") and v not in (version, last):
+                store.delete(f"{self.folder}/{v}")
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.current)
