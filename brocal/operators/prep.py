@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brocal.operators.neighbours import BLOCK, nearest
+from brocal.operators.quantiles import quantiles
 
 # ---------------------------------------------------------------- missing values
 
@@ -32,7 +33,7 @@ def impute(df: DataFrame, column: str, how: str = "mean", constant: float | None
     if how == "mode":
         value = df.where(x.isNotNull()).groupBy(x.alias("__v")).agg(F.count(F.lit(1)).alias("__n")).agg(F.min_by("__v", F.struct(-F.col("__n"), "__v")).alias("__v"))
     else:
-        value = df.agg((F.avg(x) if how == "mean" else F.percentile(x, F.lit(0.5))).alias("__v"))
+        value = df.agg(F.avg(x).alias("__v")) if how == "mean" else quantiles(df, x.cast("double"), [0.5]).select(F.col("q")[0].alias("__v"))
     return df.join(F.broadcast(value)).withColumn(column, F.coalesce(x, F.col("__v"))).drop("__v")
 
 
@@ -78,7 +79,7 @@ def bounds(df: DataFrame, column: str, how: str = "iqr", times: float = 1.5) ->
     x = F.col(f"`{column}`").cast("double")
     if how == "zscore":
         return df.agg((F.avg(x) - times * F.stddev_samp(x)).alias("bajo"), (F.avg(x) + times * F.stddev_samp(x)).alias("alto"))
-    q = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = quantiles(df, x, [0.25, 0.75])
     return q.select((F.col("q")[0] - times * (F.col("q")[1] - F.col("q")[0])).alias("bajo"), (F.col("q")[1] + times * (F.col("q")[1] - F.col("q")[0])).alias("alto"))
 
 
@@ -148,6 +149,16 @@ def redundant(df: DataFrame, correlations: DataFrame, columns: Sequence[str]) ->
     return out.select("a", "b", "r", F.when(F.col("va") < F.col("vb"), F.col("a")).otherwise(F.col("b")).alias("sobra"))
 
 
+def drop_correlated(df: DataFrame, correlations: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """`df` without the columns that repeat another: of each redundant pair whose columns are both still there, strongest first, the one with the smaller variance goes."""
+    pairs = redundant(df, correlations, columns).orderBy(F.desc(F.abs("r")), "a", "b").collect()
+    gone: list[str] = []
+    for p in pairs:
+        if p["a"] not in gone and p["b"] not in gone:
+            gone.append(p["sobra"])
+    return df.drop(*gone), gone
+
+
 # ---------------------------------------------------------------- encoding and discretisation
 
 
@@ -183,7 +194,7 @@ def edges_equal_width(df: DataFrame, column: str, bins: int) -> list[float]:
 
 
 def edges_equal_frequency(df: DataFrame, column: str, bins: int) -> list[float]:
-    q = df.agg(F.percentile(F.col(column).cast("double"), F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).first()[0]
+    q = quantiles(df, F.col(column).cast("double"), [i / bins for i in range(bins + 1)]).first()["q"]
     return sorted(set(q)) if q else []
 
 
@@ -255,8 +266,8 @@ def scaled(df: DataFrame, column: str, how: str) -> DataFrame:
     elif how == "minmax":
         one, f = df.agg(F.min(x).alias("__a"), (F.max(x) - F.min(x)).alias("__b")), (x - F.col("__a")) / F.col("__b")
     elif how == "robust":
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        one, f = df.agg(q.alias("__q")).select(F.col("__q")[1].alias("__a"), (F.col("__q")[2] - F.col("__q")[0]).alias("__b")), (x - F.col("__a")) / F.col("__b")
+        q = quantiles(df, x, [0.25, 0.5, 0.75])
+        one, f = q.select(F.col("q")[1].alias("__a"), (F.col("q")[2] - F.col("q")[0]).alias("__b")), (x - F.col("__a")) / F.col("__b")
     else:
         most = F.max(F.abs(x))
         one, f = df.agg(F.lit(0.0).alias("__a"), F.when(most >= 1, F.pow(F.lit(10.0), F.ceil(F.log10(most)))).otherwise(1.0).alias("__b")), x / F.col("__b")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brocal.operators.quantiles import quantiles
+
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -32,7 +34,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if t in NUMERIC]
 
 
-def schema_profile(df: DataFrame, sample: int = 5) -> DataFrame:
+def schema_profile(df: DataFrame) -> DataFrame:
     """columna, tipo, distintos, nulos, clase (numeric, datetime, categorical up to 50 values, text) of every column."""
     made = [F.count_distinct(F.col(f"`{c}`")).alias(f"distintos__{i}") for i, c in enumerate(df.columns)] + [F.count_if(F.col(f"`{c}`").isNull()).alias(f"nulos__{i}") for i, c in enumerate(df.columns)]
     kinds = dict(df.dtypes)
@@ -43,16 +45,17 @@ def schema_profile(df: DataFrame, sample: int = 5) -> DataFrame:
 
 
 def univariate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, nulls, mean, deviation, quartiles, extremes of numeric columns, in one pass; quartiles are exact and interpolated."""
+    """Count, nulls, mean, deviation, quartiles, extremes of numeric columns; quartiles are exact and interpolated."""
     made = []
     for i, c in enumerate(columns):
         x = F.col(f"`{c}`").cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        made += [
-            F.count(x).alias(f"n__{i}"), F.count_if(x.isNull()).alias(f"nulos__{i}"), F.round(F.avg(x), 6).alias(f"media__{i}"), F.round(F.stddev_samp(x), 6).alias(f"desv__{i}"),
-            F.min(x).alias(f"min__{i}"), F.round(q[0], 6).alias(f"q1__{i}"), F.round(q[1], 6).alias(f"mediana__{i}"), F.round(q[2], 6).alias(f"q3__{i}"), F.max(x).alias(f"max__{i}"),
-        ]
-    return _stack(df.agg(*made), columns, "n", "nulos", "media", "desv", "min", "q1", "mediana", "q3", "max")
+        made += [F.count(x).alias(f"n__{i}"), F.count_if(x.isNull()).alias(f"nulos__{i}"), F.round(F.avg(x), 6).alias(f"media__{i}"), F.round(F.stddev_samp(x), 6).alias(f"desv__{i}"), F.min(x).alias(f"min__{i}"), F.max(x).alias(f"max__{i}")]
+    base = _stack(df.agg(*made), columns, "n", "nulos", "media", "desv", "min", "max")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("x")) for i, c in enumerate(columns)])).alias("v"))
+    q = quantiles(long, F.col("v.x"), [0.25, 0.5, 0.75], F.col("v.c"))
+    named = F.create_map(*[F.lit(v) for i, c in enumerate(columns) for v in (i, c)])
+    q = q.select(named[F.col("grupo")].alias("columna"), *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("q1", "mediana", "q3"))])
+    return base.join(q, "columna", "left").select("columna", "n", "nulos", "media", "desv", "min", "q1", "mediana", "q3", "max")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -88,5 +91,36 @@ def correlations(df: DataFrame, columns: Sequence[str], threshold: float = 0.9)
 def grouped(df: DataFrame, by: str, column: str, how: str, top: int = 50) -> DataFrame:
     """The groups with the greatest mean, sum, count, min, max, median or std of a column."""
     x = F.col(f"`{column}`").cast("double")
-    f = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "median": lambda c: F.percentile(c, F.lit(0.5)), "std": F.stddev_samp}[how](x)
-    return df.groupBy(F.col(f"`{by}`").alias("grupo")).agg(F.round(f.cast("double"), 6).alias("valor")).orderBy(F.desc_nulls_last("valor"), F.asc_nulls_first("grupo")).limit(top)
+    if how == "median":
+        groups = df.select(F.col(f"`{by}`").alias("__g")).distinct()
+        q = quantiles(df, x, [0.5], F.col(f"`{by}`"))
+        made = groups.join(q, F.col("__g").eqNullSafe(F.col("grupo")), "left").select(F.col("__g").alias("grupo"), F.round(F.col("q")[0], 6).alias("valor"))
+    else:
+        f = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "std": F.stddev_samp}[how](x)
+        made = df.groupBy(F.col(f"`{by}`").alias("grupo")).agg(F.round(f.cast("double"), 6).alias("valor"))
+    return made.orderBy(F.desc_nulls_last("valor"), F.asc_nulls_first("grupo")).limit(top)
+
+
+def sample_values(df: DataFrame, most: int = 5) -> DataFrame:
+    """columna, ejemplos: of each column, the `most` least of its values as text (the same in every run)."""
+    out = None
+    for c in df.columns:
+        one = df.select(F.col(f"`{c}`").cast("string").alias("v")).where("v is not null").distinct().orderBy("v").limit(most)
+        one = one.agg(F.array_sort(F.collect_list("v")).alias("ejemplos")).select(F.lit(c).alias("columna"), "ejemplos")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def overview(df: DataFrame, target: str | None = None) -> DataFrame:
+    """seccion, clave, filas: rows and columns; columns by class; rows by value of the target."""
+    kinds = schema_profile(df).groupBy("clase").agg(F.count(F.lit(1)).alias("filas")).select(F.lit("clase").alias("seccion"), F.col("clase").alias("clave"), "filas")
+    out = df.agg(F.count(F.lit(1)).alias("filas")).select(F.lit("tabla").alias("seccion"), F.lit("filas").alias("clave"), "filas")
+    out = out.unionByName(df.sparkSession.createDataFrame([("tabla", "columnas", len(df.columns))], "seccion string, clave string, filas long")).unionByName(kinds)
+    if target:
+        out = out.unionByName(df.groupBy(F.col(f"`{target}`").cast("string").alias("clave")).agg(F.count(F.lit(1)).alias("filas")).select(F.lit("objetivo").alias("seccion"), "clave", "filas"))
+    return out
+
+
+def midpoint(df: DataFrame, column: str, accuracy: int = 10_000) -> DataFrame:
+    """`medio`: the approximate median, from sketches that combine before any shuffle."""
+    return df.agg(F.percentile_approx(F.col(f"`{column}`").cast("double"), F.lit(0.5), F.lit(accuracy)).alias("medio"))
