@@ -28,6 +28,11 @@ def lines(spark, sf):
     return d.withColumn("l_tax", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_tax")))
 
 
+def readings(d):
+    """Temperatures that are numbers."""
+    return d.where((F.lower(F.trim("sensor")) == "temperatura") & ~F.isnan("valor"))
+
+
 def ql(f):
     return lambda spark, sf: plain(f(lines(spark, sf)))
 
@@ -79,6 +84,19 @@ def knn(spark, sf):
     return P.impute_knn(d, "id", "battery_health_v2", NUM)
 
 
+def one_hot_sums(d):
+    """Rows of each flag."""
+    made = P.one_hot(d, "o_orderpriority", 3)
+    flags = [F.struct(F.lit(c).alias("bandera"), F.col(f"`{c}`").alias("n")) for c in made.columns if c not in d.columns]
+    return made.select(F.explode(F.array(*flags)).alias("x")).groupBy("x.bandera").agg(F.sum("x.n").alias("n"))
+
+
+def dropped(d):
+    """Columns that repeat another at a correlation of 0.3."""
+    gone = P.drop_correlated(d, R.correlations(d, NUM, 0.3), NUM)[1]
+    return d.sparkSession.createDataFrame([(i, c) for i, c in enumerate(gone)], "i int, columna string")
+
+
 def redundant(d):
     return P.redundant(d, R.correlations(d, NUM), NUM)
 
@@ -90,19 +108,20 @@ def sizes(f):
 
 QUERIES = {
     "eda_schema": q("robots", R.schema_profile), "eda_univariate": q("lineitem", lambda d: R.univariate(d, LINE)), "eda_histogram": q("lineitem", lambda d: R.histogram(d, "l_extendedprice")),
-    "eda_value_counts": q("robots", lambda d: R.value_counts(d, "zona")), "eda_null_pairs": q("robots", lambda d: R.null_pairs(d, d.columns)), "eda_correlations": q("robots", lambda d: R.correlations(d, NUM)),
+    "eda_value_counts": q("robots", lambda d: R.value_counts(d, "zona")), "eda_samples": q("robots", lambda d: R.sample_values(d.drop(*NUM, "failure_next_48h")).select("columna", F.array_join("ejemplos", "|").alias("ejemplos"))),
+    "eda_overview": q("robots", lambda d: R.overview(d, "failure_next_48h")), "eda_midpoint": q("lineitem", lambda d: R.midpoint(d, "l_quantity")), "eda_null_pairs": q("robots", lambda d: R.null_pairs(d, d.columns)), "eda_correlations": q("robots", lambda d: R.correlations(d, NUM)),
     "missing_columns": q("robots", lambda d: P.missing_columns(R.quality_profile(d))), "missing_drop": q("robots", lambda d: P.drop_missing(d, subset=NUM).agg(F.count(F.lit(1)).alias("n"))),
     "missing_thresh": q("robots", lambda d: P.drop_missing(d, thresh=13).agg(F.count(F.lit(1)).alias("n"))),
     "impute_mean": ql(lambda d: P.spread(P.impute(d, "l_tax", "mean"), "l_tax")), "impute_median": ql(lambda d: P.spread(P.impute(d, "l_tax", "median"), "l_tax")), "impute_mode": ql(lambda d: P.spread(P.impute(d, "l_tax", "mode"), "l_tax")),
     "impute_constant": ql(lambda d: P.spread(P.impute(d, "l_tax", "constant", 0.5), "l_tax")), "impute_compare": ql(lambda d: P.compare_imputers(d, "l_tax")), "impute_knn": knn,
-    "outliers_iqr": ql(lambda d: P.outliers(d, "l_extendedprice", "iqr", 0.6).select("l_orderkey", "l_linenumber", "l_extendedprice", "bajo", "alto")),
-    "outliers_zscore": ql(lambda d: P.outliers(d, "l_extendedprice", "zscore", 1.8).select("l_orderkey", "l_linenumber", "l_extendedprice")),
+    "outliers_iqr": q("telemetry", lambda d: P.outliers(readings(d), "valor", "iqr").select("lectura_id", "valor", "bajo", "alto")),
+    "outliers_zscore": q("telemetry", lambda d: P.outliers(readings(d), "valor", "zscore", 3.0).select("lectura_id", "valor")),
     "outliers_cap": ql(lambda d: P.spread(P.handle_outliers(d, "l_extendedprice", "cap", "iqr", 0.3), "l_extendedprice")),
     "outliers_remove": ql(lambda d: P.spread(P.handle_outliers(d, "l_extendedprice", "remove", "iqr", 0.3), "l_extendedprice")),
     "outliers_log": q("customer", lambda d: P.spread(P.handle_outliers(d, "c_acctbal", "log"), "c_acctbal")),
     **{f"integ_join_{h}": join_kind(h) for h in ("inner", "left", "right", "outer")}, "integ_union": union_permissive, "integ_keys": lambda s, d: P.key_report(*parties(s, d), "c_nationkey"),
-    "integ_cramers_v": q("lineitem", lambda d: P.cramers_v(d, "l_returnflag", "l_linestatus")), "integ_redundant": q("robots", redundant),
-    "trans_one_hot": q("orders", lambda d: P.one_hot(d, "o_orderpriority", 3).agg(*[F.sum(c).cast("bigint").alias(c.replace("-", "_").replace(" ", "_").replace(".", "_")) for c in [f"o_orderpriority_{x}" for x in ("OTROS",)]])),
+    "integ_cramers_v": q("lineitem", lambda d: P.cramers_v(d, "l_returnflag", "l_linestatus")), "integ_redundant": q("robots", redundant), "integ_drop_correlated": q("robots", dropped),
+    "trans_one_hot": q("orders", one_hot_sums),
     "trans_ordinal": q("orders", lambda d: d.groupBy(P.ordinal("o_orderpriority", ["5-LOW", "3-MEDIUM", "1-URGENT"]).alias("code")).agg(F.count(F.lit(1)).alias("n"))),
     "trans_multivalued": q("robots", lambda d: P.multivalued(d, "sensores_activos")), "trans_flags": flags, "trans_edges": edges, "trans_binned": binned, "trans_mdlp": mdlp,
     **{f"trans_groupby_{h}": q("lineitem", lambda d, h=h: R.grouped(d, "l_returnflag", "l_quantity", h)) for h in ("mean", "sum", "count", "min", "max", "median", "std")},
@@ -120,9 +139,10 @@ def _uni(c):
 
 _ROBOT_COLUMNS = ["id", "modelo", "fabricante", "fecha_alta", "almacen", "zona", "firmware_version", "sensores_activos", *NUM, "failure_next_48h"]
 _L = "with l as (select * replace (case when l_orderkey % 7 != 0 then l_tax end as l_tax) from lineitem)\n"
+_R = "with r as (select lectura_id, valor from telemetry where lower(trim(sensor)) = 'temperatura' and not isnan(valor))\n"
 _SPREAD = "select count(x) n, round(avg(x), 6) media, round(stddev_samp(x), 6) desv from "
 _IQR = "(select q1 - {k} * (q3 - q1) bajo, q3 + {k} * (q3 - q1) alto from (select quantile_cont(l_extendedprice, 0.25) q1, quantile_cont(l_extendedprice, 0.75) q3 from l))"
-_H = "with a as (select c_nationkey, c_custkey, c_name as name from customer where c_custkey % 3 != 0), b as (select s_nationkey c_nationkey, s_suppkey, s_name as name from supplier where s_suppkey % 2 = 0 and s_nationkey > 4)\n"
+_H = "with a as (select c_nationkey, c_custkey, c_name as name from customer), b as (select s_nationkey c_nationkey, s_suppkey, s_name as name from supplier)\n"
 _PAIRS = [(a, b) for i, a in enumerate(NUM) for b in NUM[i + 1 :]]
 _CORR = " union all ".join(f"select '{a}' a, '{b}' b, round(corr({a}, {b}), 6) r, coalesce(abs(round(corr({a}, {b}), 6)) > 0.9, false) redundante from robots" for a, b in _PAIRS)
 _HASH = "md5({k}::varchar || ':42')"
@@ -156,8 +176,8 @@ select bin, round(any_value(lo + (bin - 1) * (hi - lo) / 30), 6) desde, count(*)
     "impute_constant": _L + _SPREAD + "(select coalesce(l_tax, 0.5) x from l)",
     "impute_compare": _L + """, m as (select 'drop' metodo, l_tax x from l where l_tax is not null union all select 'mean', coalesce(l_tax, avg(l_tax) over ()) from l union all select 'median', coalesce(l_tax, quantile_cont(l_tax, 0.5) over ()) from l),
 s as (select metodo, count(x) n, round(avg(x), 6) media, round(stddev_samp(x), 6) desv from m group by 1) select *, round(1 - desv / (select desv from s where metodo = 'drop'), 6) perdida from s""",
-    "outliers_iqr": _L + f"select l_orderkey, l_linenumber, l_extendedprice, round(bajo, 6) bajo, round(alto, 6) alto from l, {_IQR.format(k=0.6)} where l_extendedprice < bajo or l_extendedprice > alto",
-    "outliers_zscore": _L + "select l_orderkey, l_linenumber, l_extendedprice from (select *, avg(l_extendedprice) over () a, stddev_samp(l_extendedprice) over () s from l) where abs(l_extendedprice - a) > 1.8 * s",
+    "outliers_iqr": _R + "select lectura_id, round(valor, 6) valor, round(bajo, 6) bajo, round(alto, 6) alto from r, (select q1 - 1.5 * (q3 - q1) bajo, q3 + 1.5 * (q3 - q1) alto from (select quantile_cont(valor, 0.25) q1, quantile_cont(valor, 0.75) q3 from r)) where valor < bajo or valor > alto",
+    "outliers_zscore": _R + "select lectura_id, round(valor, 6) valor from r, (select avg(valor) a, stddev_samp(valor) s from r) where abs(valor - a) > 3 * s",
     "outliers_cap": _L + _SPREAD + f"(select greatest(least(l_extendedprice, alto), bajo) x from l, {_IQR.format(k=0.3)})", "outliers_remove": _L + _SPREAD + f"(select l_extendedprice x from l, {_IQR.format(k=0.3)} where l_extendedprice between bajo and alto)",
     "outliers_log": _SPREAD + "(select ln(1 + c_acctbal + case when min(c_acctbal) over () < 0 then 1 - min(c_acctbal) over () else 0 end) x from customer)",
     "integ_join_inner": _join("inner"), "integ_join_left": _join("left"), "integ_join_right": _join("right"), "integ_join_outer": _join("full"),
@@ -167,7 +187,8 @@ select sum(a)::bigint claves_a, sum(b)::bigint claves_b, count(*) filter (where
     "integ_cramers_v": """with n as (select l_returnflag a, l_linestatus b, count(*) o from lineitem group by 1, 2), x as (select a, sum(o) ra from n group by 1), y as (select b, sum(o) rb from n group by 1), t as (select sum(o) t from n),
 cells as (select coalesce(o, 0) o, ra * rb / t e from x cross join y cross join t left join n using (a, b)) select round(sqrt(sum(pow(o - e, 2) / e) / ((select t from t) * (least((select count(*) from x), (select count(*) from y)) - 1))), 6) v from cells""",
     "integ_redundant": f"with c as ({_CORR}), v as (" + " union all ".join(f"select '{c}' c, var_samp({c}) v from robots" for c in NUM) + ") select a, b, r, case when x.v < y.v then a else b end sobra from c join v x on x.c = a join v y on y.c = b where redundante",
-    "trans_one_hot": "select count(*) filter (where o_orderpriority not in (select o_orderpriority from orders group by 1 order by count(*) desc, 1 limit 3)) o_orderpriority_OTROS from orders",
+    "trans_one_hot": """with top as (select o_orderpriority v from orders group by 1 order by count(*) desc, 1 limit 3)
+select 'o_orderpriority_' || v bandera, count(*) n from orders join top on o_orderpriority = v group by 1 union all select 'o_orderpriority_OTROS', count(*) from orders where o_orderpriority not in (select v from top)""",
     "trans_ordinal": "select case o_orderpriority when '5-LOW' then 1 when '3-MEDIUM' then 2 when '1-URGENT' then 3 else 0 end code, count(*) n from orders group by 1",
     "trans_multivalued": "select valor, count(*) filas from (select unnest(list_distinct(list_transform(string_split(sensores_activos, ','), lambda x: trim(x)))) valor from robots) where valor != '' group by 1",
     "trans_flags": "select " + ", ".join(f"count(*) filter (where list_contains(list_transform(string_split(sensores_activos, ','), lambda x: trim(x)), '{v}')) {v}" for v in ("bateria", "temperatura", "vibracion")) + " from robots",
@@ -189,3 +210,18 @@ SQL["eda_schema"] = " union all ".join(
         k="'numeric'" if c in NUM or c == "failure_next_48h" else f"case when count(distinct {c}) <= 50 then 'categorical' else 'text' end")
     for c in _ROBOT_COLUMNS
 )
+
+
+def _filter_sql(c):
+    y = "failure_next_48h::double"
+    return f"""select '{c}' columna, (select round(abs(corr({c}, {y})), 6) from r) pearson, (select round(var_samp({c}), 6) from r) varianza,
+  (select round(sum(pow(o - so * n / sn, 2) / nullif(so * n / sn, 0)), 6) from (select *, sum(o) over () so, sum(n) over () sn from (select {y} y, sum({c} - lo) o, count(*) n from r, (select min({c}) lo from robots) group by 1))) chi2,
+  (select round(sum(n / t * ln(n * t / (nb * ny))), 6) from (select *, sum(n) over (partition by b) nb, sum(n) over (partition by y) ny, sum(n) over () t from
+    (select least(floor(({c} - lo) / ((hi - lo) / 10)), 9) b, {y} y, count(*)::double n from r, (select min({c}) lo, max({c}) hi from robots) group by 1, 2))) info
+from (select 1)""".replace("from r", f"from (select * from robots where {c} is not null and failure_next_48h is not null) r")
+
+
+SQL["filter_scores"] = " union all ".join(_filter_sql(c) for c in ["bateria_pct", "voltaje_v", "consumo_total_kwh"])
+SQL["eda_samples"] = " union all ".join(f"select '{c}' columna, (select string_agg(v, '|' order by v) from (select distinct {c} v from robots where {c} is not null order by 1 limit 5)) ejemplos" for c in _ROBOT_COLUMNS if c not in NUM and c != "failure_next_48h")
+SQL["eda_overview"] = f"""select 'tabla' seccion, 'filas' clave, count(*) filas from robots union all select 'tabla', 'columnas', {len(_ROBOT_COLUMNS)} union all select 'clase', clase, count(*) from ({SQL["eda_schema"]}) group by 2
+union all select 'objetivo', failure_next_48h::varchar, count(*) from robots group by 2"""
