@@ -31,3 +31,11 @@ def join_back(rows: DataFrame, wanted: DataFrame, by: Sequence[str], size: str,
     of_hot = rows.join(F.broadcast(wanted.where(hot).drop(size)), by)
     of_rest = rows.join(F.broadcast(listed), by, "left_anti").join(wanted.where(~hot).drop(size), by)
     return of_hot.unionByName(of_rest)
+
+
+def left_back(rows: DataFrame, wanted: DataFrame, by: Sequence[str], size: str, limit: int) -> DataFrame:
+    """All `rows`, with the columns of `wanted` (but `size`) where their key is there; hot keys as in `join_back`. Keys of `rows` aren't null."""
+    by = list(by)
+    hot = F.broadcast(wanted.where(F.col(size) > limit).drop(size))
+    of_rest = rows.join(hot.select(*by), by, "left_anti").join(wanted.where(F.col(size) <= limit).drop(size), by, "left")
+    return rows.join(hot, by).unionByName(of_rest)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from brocal.functions.clean import fix_encoding, normal_hashtags, normal_username, parse_when, spam_rule
 from brocal.operators.copies import first_by
 from brocal.operators.ranking import global_rank
+from brocal.operators.skew import hot_limit, left_back
+
+#: Parts into which the copies of one text by one author are split.
+SPLIT = 64
 
 
 def _filled(*columns: str) -> Column:
@@ -30,13 +34,26 @@ def silver_posts(raw: DataFrame, users: DataFrame, now: Column, total: bool = Fa
     """Text, tags and times put right; posts without id, text or known author dropped; repeats of one text by one author flagged.
 
     The fourth copy in order of time and all later ones are spam; with `total`
-    all copies of a text that occurs more than three times.
+    all copies of a text that occurs more than three times.  Copies are counted
+    by author and hash of the text first; the time of a fourth copy is found
+    among the four earliest of each of SPLIT parts of a group, so a burst of
+    any size is never gathered.
     """
     df = raw.withColumns({"text": fix_encoding("text"), "hashtags": normal_hashtags("hashtags"), "created_at": parse_when("created_at", now)})
     df = df.where(_filled("_id", "user_id", "text")).join(users.select(F.col("_id").alias("user_id")), "user_id", "left_semi")
-    same = Window.partitionBy("user_id", "text")
-    copies = F.count(F.lit(1)).over(same if total else same.orderBy("created_at"))
-    return df.withColumn("is_spam", copies > 3).withColumn("likes_count", F.lit(0).cast("bigint"))
+    of = ["user_id", "__h"]
+    df = df.withColumn("__h", F.md5("text"))
+    many = df.groupBy(*of).agg(F.count(F.lit(1)).alias("__n")).where("__n > 3")
+    if total:
+        out = left_back(df, many.withColumn("__many", F.lit(True)), of, "__n", hot_limit(raw.count())).withColumn("is_spam", F.col("__many").isNotNull())
+    else:
+        part = Window.partitionBy(*of, "__s").orderBy("created_at")
+        early = df.join(many, of).select(*of, "__n", "created_at", F.pmod(F.xxhash64("_id"), F.lit(SPLIT)).alias("__s")).withColumn("__i", F.row_number().over(part)).where("__i <= 4")
+        fourth = early.withColumn("__i", F.row_number().over(Window.partitionBy(*of).orderBy("created_at"))).where("__i = 4").select(*of, "__n", F.col("created_at").alias("__from"), F.lit(True).alias("__many"))
+        out = left_back(df, fourth, of, "__n", hot_limit(raw.count()))
+        # without a time a row comes before all that have one
+        out = out.withColumn("is_spam", F.col("__many").isNotNull() & F.coalesce(F.col("created_at") >= F.col("__from"), F.col("__from").isNull()))
+    return out.select(*[c for c in df.columns if c not in ("__h", "is_spam", "likes_count")], "is_spam", F.lit(0).cast("bigint").alias("likes_count"))
 
 
 def silver_likes(raw: DataFrame, users: DataFrame, posts: DataFrame, now: Column) -> DataFrame:
