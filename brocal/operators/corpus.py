@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import random
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+import re
+import uuid
+from collections import Counter, defaultdict, deque
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brocal.functions.clean import BROKEN_CORPUS, fix_encoding, redact, redactions, strip, strip_html, voted_language
-from brocal.session import cut, ship
+from brocal.operators.skew import hot_limit, left_back
+from brocal.session import cut, partitions, shared_folder, ship
+from brocal.sources import store
 
 #: Words of a shingle, and the similarity from which texts are near duplicates.
 WORDS, SIMILAR = 5, 0.8
+#: Members of a bucket from which it is cut into blocks.
+BUCKET = 2_000
 WORD = r"[\p{L}\p{N}_]+"
 TOKEN = r"[\p{L}\p{N}_]+|[.,;:¿?¡!]"
 MERSENNE = 2**31 - 1
@@ -64,12 +71,13 @@ def redaction_count(df: DataFrame) -> DataFrame:
 def exact_classes(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """`key`, clase (least key of the same stripped text), copias; null texts are left out.
 
-    Classes come from an aggregation by hash; each text meets its class by the
-    hash again, and classes of one are told without that.
+    Classes come from an aggregation by hash; only texts of more than one row
+    meet their class by the hash again, those of many rows by broadcast.
     """
-    h = F.md5(strip("text"))
-    rows = df.where("text is not null").select(key, h.alias("h"))
-    return rows.join(rows.groupBy("h").agg(F.min(key).alias("clase"), F.count(F.lit(1)).alias("copias")), "h").drop("h")
+    rows = df.where("text is not null").select(key, F.md5(strip("text")).alias("h"))
+    many = rows.groupBy("h").agg(F.min(key).alias("clase"), F.count(F.lit(1)).alias("copias")).where("copias > 1").withColumn("__n", F.col("copias"))
+    out = left_back(rows, many, ["h"], "__n", hot_limit(df.count()))
+    return out.select(key, F.coalesce("clase", key).alias("clase"), F.coalesce("copias", F.lit(1)).alias("copias"))
 
 
 def exact_report(df: DataFrame) -> DataFrame:
@@ -91,10 +99,10 @@ def shingles(w: Column, size: int = WORDS) -> Column:
     return F.array_distinct(F.when(F.size(w) > size, many).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>")))
 
 
-def _shingled(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+def _shingled(df: DataFrame, key: str, text: str = "text", words: int = WORDS) -> DataFrame:
     """`key`, s (sorted distinct shingles) of each text with any word."""
     d = df.where(F.col(text).isNotNull()).select(key, words_of(text).alias("w")).where(F.size("w") > 0)
-    return d.select(key, F.array_sort(shingles(F.col("w"))).alias("s"))
+    return d.select(key, F.array_sort(shingles(F.col("w"), words)).alias("s"))
 
 
 def minima(rows: int = 64, seed: int = 42, hash: str = "h") -> list[Column]:
@@ -109,20 +117,20 @@ def _signed(sets: DataFrame, key: str, rows: int) -> DataFrame:
     return hashed.groupBy(key).agg(*minima(rows)).select(key, F.array(*[f"m{i}" for i in range(rows)]).alias("firma"))
 
 
-def signatures(df: DataFrame, key: str = "doc_id", rows: int = 64) -> DataFrame:
+def signatures(df: DataFrame, key: str = "doc_id", rows: int = 64, words: int = WORDS) -> DataFrame:
     """`key`, firma of each text with any word."""
-    return _signed(_shingled(df, key), key, rows)
+    return _signed(_shingled(df, key, words=words), key, rows)
 
 
-def _sets(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def _sets(df: DataFrame, key: str, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """(key, rep) of all texts, rep the least key with the same set of shingles; and (id, s) with the set of each rep."""
-    d = cut(_shingled(df, key).withColumn("h", F.md5(F.array_join("s", "\n"))))
+    d = cut(_shingled(df, key, words=words).withColumn("h", F.md5(F.array_join("s", "\n"))))
     reps = d.groupBy("h").agg(F.min(key).alias("rep"))
     members = d.select(key, "h").join(reps, "h").select(key, "rep")
     return members, d.join(reps.select(F.col("rep").alias(key)), key, "left_semi").select(F.col(key).alias("id"), "s")
 
 
-def similar_pairs(df: DataFrame, key: str = "doc_id", similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+def similar_pairs(df: DataFrame, key: str = "doc_id", similar: float = SIMILAR, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """Members of classes of equal shingle sets, and the pairs (a, b, jaccard) of different sets that are similar, none left out.
 
     Two sets that reach the similarity share one of the rarest few shingles of
@@ -130,7 +138,7 @@ def similar_pairs(df: DataFrame, key: str = "doc_id", similar: float = SIMILAR)
     sets whose size can match; repeated texts are one set before.  Similarity
     is then counted exactly.
     """
-    members, sets = _sets(df, key)
+    members, sets = _sets(df, key, words)
     sets = cut(sets.withColumn("n", F.size("s")))
     tokens = sets.select("id", "n", F.explode("s").alias("t"))
     rare = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
@@ -145,13 +153,23 @@ def similar_pairs(df: DataFrame, key: str = "doc_id", similar: float = SIMILAR)
     return members, out
 
 
-def lsh_pairs(df: DataFrame, key: str = "doc_id", bands: int = 16, width: int = 4, similar: float = SIMILAR) -> DataFrame:
+def bucket_pairs(rows: DataFrame, by: Sequence[str], most: int = BUCKET) -> DataFrame:
+    """a, b (a < b) of all ids that share a bucket; large buckets are cut into blocks, and blocks meet pairwise, each pair of blocks in its own task."""
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("k", F.ceil(F.col("n") / most).cast("int"))
+    placed = rows.join(sizes.drop("n"), list(by)).withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    ahead = placed.select(*by, F.col("id").alias("x"), F.col("i").alias("p"), F.explode(F.expr("sequence(i, k - 1)")).alias("q"))
+    back = placed.select(*by, F.col("id").alias("y"), F.explode(F.expr("sequence(0, i)")).alias("p"), F.col("i").alias("q"))
+    met = ahead.join(back, [*by, "p", "q"]).where((F.col("x") != F.col("y")) & ((F.col("p") != F.col("q")) | (F.col("x") < F.col("y"))))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def lsh_pairs(df: DataFrame, key: str = "doc_id", bands: int = 16, width: int = 4, similar: float = SIMILAR, words: int = WORDS) -> DataFrame:
     """a, b, jaccard of different shingle sets that share a band of their signatures and are similar."""
-    _, sets = _sets(df, key)
+    _, sets = _sets(df, key, words)
     sets = cut(sets)
     sig = _signed(sets, "id", bands * width)
     rows = cut(sig.select("id", F.posexplode(F.array(*[F.xxhash64(F.slice("firma", i * width + 1, width)) for i in range(bands)])).alias("band", "h")))
-    pairs = rows.alias("x").join(rows.alias("y"), ["band", "h"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = bucket_pairs(rows, ["band", "h"])
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return full.select("a", "b", F.round(both / (F.size("sa") + F.size("sb") - both), 6).alias("jaccard")).where(F.col("jaccard") >= similar)
@@ -234,27 +252,50 @@ def compare_training(dirty: DataFrame, clean: DataFrame, valid: DataFrame, n: in
     return perplexity(ngram_counts(dirty, n), valid, n).withColumn("modelo", F.lit("sucio")).unionByName(perplexity(ngram_counts(clean, n), valid, n).withColumn("modelo", F.lit("limpio")))
 
 
-def generate(counts: DataFrame, prompt: str = "", most: int = 50, temperature: float = 0.8, seed: int = 42, n: int = 3) -> str:
-    """A text drawn token by token; each step asks for the counts of one context."""
-    r = random.Random(seed)
-    counts = cut(counts)
-    uni = None
-    out = [t for t in __import__("re").findall(r"\w+|[.,;:¿?¡!]", prompt.lower())]
-    context = (["<s>"] * (n - 1) + out)[len(out) :]
-    for _ in range(most):
-        rows = counts.where(F.col("contexto") == " ".join(context)).select("token", "veces").orderBy("token").collect()
-        if not rows:
-            uni = uni or counts.groupBy("token").agg(F.sum("veces").alias("veces")).orderBy(F.desc("veces"), "token").limit(1000).collect()
-            rows = uni
-        token = r.choices([x["token"] for x in rows], [x["veces"] ** (1 / max(0.1, temperature)) for x in rows])[0]
-        if token == "</s>":
-            break
-        out.append(token)
-        context = [*context, token][1:]
-    text = ""
-    for t in out:
-        text = text.rstrip() + t + " " if t in ".,;:?!" else text + t + " "
-    return text.strip()
+def drawn(counts: DataFrame, by: Sequence[str], draws: int, temperature: float, seed: int) -> DataFrame:
+    """`by`, tokens: so many tokens of each context, drawn with a chance of veces ** (1 / temperature).
+
+    The greatest of log(veces) / temperature plus Gumbel noise is such a draw,
+    so it is an aggregation with partial results; the noise is a hash.
+    """
+    def noise(i: int) -> Column:
+        u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(i), *by, "token"), 11) + 0.5) * F.lit(2.0**-53)
+        return -F.log(-F.log(u))
+
+    weight = F.log("veces") / max(0.1, temperature)
+    made = counts.groupBy(*by).agg(*[F.max_by("token", F.struct(weight + noise(i), "token")).alias(f"t{i}") for i in range(draws)])
+    return made.select(*by, F.array(*[f"t{i}" for i in range(draws)]).alias("tokens"))
+
+
+def generate(counts: DataFrame, prompt: str = "", most: int = 50, temperature: float = 0.8, seed: int = 42, n: int = 3, draws: int = 8) -> str:
+    """A text that follows the model from a prompt, to the end of a text or `most` tokens.
+
+    The next tokens of all contexts are drawn beforehand, in one pass over the
+    counts, and written to the shared folder by hash of the context; each step
+    then reads one row of one bucket.  A context that never occurred is
+    followed by a token of the whole corpus.  The i-th step takes the draw
+    i mod `draws`.
+    """
+    spark = counts.sparkSession
+    folder, buckets = f"{shared_folder(spark)}/generate-{uuid.uuid4().hex}", partitions(spark)
+    bucket = F.pmod(F.xxhash64("contexto"), F.lit(buckets)).cast("int")
+    try:
+        drawn(counts, ["contexto"], draws, temperature, seed).withColumn("bucket", bucket).repartition(buckets, "bucket").write.partitionBy("bucket").parquet(folder)
+        anywhere = drawn(counts.groupBy("token").agg(F.sum("veces").alias("veces")), [], draws, temperature, seed).first()
+        follow = spark.read.parquet(folder)
+        text = re.findall(r"\w+|[.,;:¿?¡!]", prompt.lower())
+        window = deque(["<s>"] * (n - 1) + text, maxlen=n - 1)
+        for i in range(most):
+            key = F.lit(" ".join(window))
+            at = follow.where((F.col("bucket") == F.pmod(F.xxhash64(key), F.lit(buckets))) & (F.col("contexto") == key)).first() or anywhere
+            token = at["tokens"][i % draws]
+            if token is None or token == "</s>":
+                break
+            text.append(token)
+            window.append(token)
+    finally:
+        store.delete(folder)
+    return re.sub(r" (?=[.,;:?!])", "", " ".join(text))
 
 
 # ---------------------------------------------------------------- byte-pair vocabulary
@@ -269,6 +310,18 @@ def word_table(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.where("text is not null").select(key, F.posexplode(w).alias("pos", "palabra")).groupBy("palabra").agg(F.count(F.lit(1)).alias("veces"), F.min(F.struct(key, "pos")).alias("primera"))
 
 
+def joined(symbols: list[str], pair: tuple[str, str]) -> list[str]:
+    """The symbols with each occurrence of the pair, from the left, made one."""
+    out: list[str] = []
+    for s in symbols:
+        # a symbol that was just made can't be the first of another pair, as it is longer than either
+        if out and (out[-1], s) == pair:
+            out[-1] += s
+        else:
+            out.append(s)
+    return out
+
+
 def learn_merges(words: list[tuple[str, int]], merges: int) -> list[tuple[str, str]]:
     """The most frequent adjacent pairs, merged one after the other; of equally frequent ones the first to occur in the table.
 
@@ -293,15 +346,7 @@ def learn_merges(words: list[tuple[str, int]], merges: int) -> list[tuple[str, s
             for p in zip(s, s[1:]):
                 count[p] -= times[i]
                 where[p].discard(i)
-            new, j = [], 0
-            while j < len(s):
-                if j + 1 < len(s) and (s[j], s[j + 1]) == best:
-                    new.append(s[j] + s[j + 1])
-                    j += 2
-                else:
-                    new.append(s[j])
-                    j += 1
-            table[i] = new
+            table[i] = new = joined(s, best)
             for p in zip(new, new[1:]):
                 count[p] += times[i]
                 where[p].add(i)
@@ -332,15 +377,7 @@ class _Bpe:
                 p = min(zip(s, s[1:]), key=lambda q: rank.get(q, len(rank)))
                 if p not in rank:
                     break
-                new, j = [], 0
-                while j < len(s):
-                    if j + 1 < len(s) and (s[j], s[j + 1]) == p:
-                        new.append(s[j] + s[j + 1])
-                        j += 2
-                    else:
-                        new.append(s[j])
-                        j += 1
-                s = new
+                s = joined(s, p)
             return [vocabulary[t] for t in s if t in vocabulary]
 
         for b in batches:
@@ -370,18 +407,33 @@ def decode_bpe(ids: list[int], vocabulary: dict[str, int]) -> str:
     return "".join(names.get(i, "") for i in ids).replace(END, " ").strip()
 
 
-def write_shards(encoded: DataFrame, folder: str, validation: int, key: str = "doc_id") -> dict[str, int]:
-    """train.bin and val.bin of unsigned 16-bit ids, documents in order of key, the first `validation` for val; streamed to the driver partition by partition."""
-    import pathlib
+def write_shards(encoded: DataFrame, folder: str, share: float = 0.9, vocabulary: dict[str, int] | None = None, key: str = "doc_id") -> DataFrame:
+    """Ids as parquet shards by side (parte=train, parte=val: by the hash of the key), written by the executors, and vocab.json; parte, documentos, tokens.
 
-    import numpy as np
-
-    path = pathlib.Path(folder)
-    path.mkdir(parents=True, exist_ok=True)
-    sizes = {"train": 0, "val": 0}
-    with (path / "train.bin").open("wb") as train, (path / "val.bin").open("wb") as val:
-        for i, row in enumerate(encoded.orderBy(key).toLocalIterator()):
-            name, file = ("val", val) if i < validation else ("train", train)
-            np.array(row["ids"], np.uint16).tofile(file)
-            sizes[name] += len(row["ids"])
-    return sizes
+    A row is a document with its ids, so a trainer may read any number of
+    shards at once, in any order.
+    """
+    from brocal.operators.ranking import split
+
+    sides = split(encoded, key, share).withColumn("parte", F.when(F.col("parte") == "train", "train").otherwise("val"))
+    sides.write.mode("overwrite").partitionBy("parte").parquet(f"{folder}/ids")
+    if vocabulary is not None:
+        store.write_text(f"{folder}/vocab.json", json.dumps(vocabulary, ensure_ascii=False))
+    written = encoded.sparkSession.read.parquet(f"{folder}/ids")
+    return written.groupBy("parte").agg(F.count(F.lit(1)).alias("documentos"), F.sum(F.size("ids")).cast("bigint").alias("tokens"))
+
+
+def vocabulary_stats(df: DataFrame, encoded: DataFrame, merges: Sequence[tuple[str, str]], vocabulary: dict[str, int], key: str = "doc_id") -> DataFrame:
+    """metrica, valor: size of the vocabulary, merges, documents, characters, tokens, characters a token, tokens that occur."""
+    chars = df.where("text is not null").agg(F.count(F.lit(1)).cast("double").alias("documentos"), F.sum(F.length("text")).cast("double").alias("caracteres"))
+    used = encoded.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("tokens"), F.count(F.lit(1)).cast("double").alias("usados"))
+    one = chars.join(used).withColumns({"vocabulario": F.lit(float(len(vocabulary))), "fusiones": F.lit(float(len(merges))), "caracteres_por_token": F.round(F.col("caracteres") / F.col("tokens"), 4)})
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metrica"), F.col(c).alias("valor")) for c in one.columns])).alias("x")).select("x.*")
+
+
+def tokens_of(encoded: DataFrame, vocabulary: dict[str, int], key: str = "doc_id") -> DataFrame:
+    """`key`, tokens: the names of the ids, in order."""
+    spark = encoded.sparkSession
+    names = [t for t, _ in sorted(vocabulary.items(), key=lambda x: x[1])]
+    table = F.broadcast(spark.createDataFrame([(names,)], "names array<string>"))
+    return encoded.join(table).select(key, F.transform("ids", lambda i: F.get("names", i)).alias("tokens"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from brocal.functions import clean
 from brocal.operators import corpus as C
+from brocal.operators.ranking import split
 from brocal.plans.problems import table
 
 
@@ -31,6 +32,19 @@ def generated(spark, sf):
     return spark.createDataFrame([(C.generate(C.ngram_counts(docs(spark, sf)), "el", 12),)], "text string")
 
 
+def held_out(d):
+    """Both models from the training side, judged on the clean texts of the other side."""
+    sides = split(d, "doc_id")
+    train, test = sides.where("parte = 'train'").drop("parte"), sides.where("parte = 'test'").drop("parte")
+    return C.compare_training(train, C.cleaned(train), C.cleaned(test))
+
+
+def bpe_stats(spark, sf):
+    d = docs(spark, sf)
+    merges, vocabulary = C.train_bpe(d)
+    return C.vocabulary_stats(d, C.encode_bpe(d, merges, vocabulary), merges, vocabulary)
+
+
 def degrees(d):
     return C.similarity_degrees(C.similar_pairs(d)[1], 20)
 
@@ -39,9 +53,9 @@ QUERIES = {
     "corpus_stats": q(C.corpus_stats), "clean_encoding": q(lambda d: d.where("text is not null").select("doc_id", F.md5(clean.fix_encoding("text", clean.BROKEN_CORPUS)).alias("h"))),
     "clean_html": q(lambda d: d.where("text is not null").select("doc_id", F.length(clean.strip_html("text")).alias("n"), F.md5(clean.strip_html("text")).alias("h"))), "clean_length": q(C.length_classes),
     "clean_language": q(C.language_quality), "clean_pii": q(C.redaction_count), "clean_pipeline": q(C.cleaning_report),
-    "dedup_exact": q(C.exact_report), "dedup_exact_classes": q(C.exact_classes), "dedup_minhash": q(C.signatures), "dedup_lsh": q(C.lsh_pairs), "dedup_near": q(C.near_duplicates), "dedup_degrees": q(degrees),
-    "lm_ngrams": q(C.ngram_counts), "lm_stats": q(lambda d: C.lm_stats(C.ngram_counts(d))), "lm_perplexity": q(lambda d: C.compare_training(d, C.cleaned(d), C.cleaned(d))), "lm_generate": generated,
-    "bpe_words": q(lambda d: C.word_table(d).select("palabra", "veces")), "bpe_merges": bpe_merges, "bpe_ids": bpe_ids,
+    "dedup_exact": q(C.exact_report), "dedup_exact_classes": q(C.exact_classes), "dedup_minhash": q(C.signatures), "dedup_lsh": q(C.lsh_pairs), "dedup_lsh_loose": q(lambda d: C.lsh_pairs(d, similar=0.5, words=3)), "dedup_near": q(C.near_duplicates), "dedup_degrees": q(degrees),
+    "lm_ngrams": q(C.ngram_counts), "lm_stats": q(lambda d: C.lm_stats(C.ngram_counts(d))), "lm_perplexity": q(held_out), "lm_generate": generated,
+    "bpe_words": q(lambda d: C.word_table(d).select("palabra", "veces")), "bpe_merges": bpe_merges, "bpe_ids": bpe_ids, "bpe_stats": bpe_stats,
 }
 
 
@@ -78,12 +92,15 @@ g as (select {p} w[i] || ' ' || w[i + 1] contexto, w[i + 2] token from (select {
 _STOP = lambda words: "len(regexp_extract_all(' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '  ', 'g') || ' ', ' (?:" + "|".join(words) + ") '))"
 _EN = f"({_STOP(clean.STOP_EN)} > {_STOP(clean.STOP_ES)})"
 _PHONE = clean.PHONE
-_EMAIL = clean.EMAIL
+_EMAIL = clean.EMAIL.replace("\\w", "A-Za-z0-9_")  # as Java reads it
 _CLEAN = f"""{_staged_html(f"select doc_id, lang, {_fixed('text')} t0 from documents where text is not null")},
 red as (select doc_id, regexp_replace(regexp_replace(t, '{_EMAIL}', '[EMAIL]', 'g'), '{_PHONE}', '[TELEFONO]', 'g') as text from html),
 kept as (select doc_id, text from red where length(text) between 100 and 10000 and not {_EN})"""
 
 
+_TRAIN = "('0x' || substr(md5(doc_id::varchar || ':42'), 1, 8))::bigint < 3435973836"
+
+
 def _model(name: str, source: str) -> str:
     g = _GRAMS.format(p="", t=source).replace("w as (", f"w_{name} as (", 1).replace("g as (", f"g_{name} as (", 1).replace("from w))", f"from w_{name}))")
     return g + f",\nc_{name} as (select contexto, token, count(*) veces from g_{name} group by 1, 2), t_{name} as (select contexto, sum(veces) tc from c_{name} group by 1), u_{name} as (select token, sum(veces) u from c_{name} group by 1), n_{name} as (select count(distinct token) + 1 v, sum(veces) t from c_{name})"
@@ -92,7 +109,7 @@ def _model(name: str, source: str) -> str:
 def _perplexity(name: str, label: str) -> str:
     return f"""select '{label}' modelo, sum(k)::bigint tokens, round(exp(-sum(k * ln(greatest(p, 1e-12))) / sum(k)), 4) perplejidad from (
   select k, case when tc is not null then (coalesce(veces, 0) + 0.1::double) / (tc + 0.1::double * v) else (coalesce(u, 0) + 0.1::double) / (t + 0.1::double * v) end p
-  from (select contexto, token, count(*) k from g_clean group by 1, 2) left join c_{name} using (contexto, token) left join t_{name} using (contexto) left join u_{name} using (token), n_{name})"""
+  from (select contexto, token, count(*) k from g_valid group by 1, 2) left join c_{name} using (contexto, token) left join t_{name} using (contexto) left join u_{name} using (token), n_{name})"""
 
 
 SQL = {
@@ -109,6 +126,8 @@ SQL = {
     "dedup_degrees": _SETS + "select id, count(*) vecinos, round(avg(jaccard), 6) media from (select a id, jaccard from pairs union all select b, jaccard from pairs) group by 1 order by 2 desc, avg(jaccard) desc, 1 limit 20",
     "lm_ngrams": "with " + _GRAMS.format(p="", t="documents") + " select contexto, token, count(*) veces from g group by 1, 2",
     "lm_stats": "with " + _GRAMS.format(p="", t="documents") + " select count(distinct contexto) contextos, count(distinct token) + 1 tipos, count(*) veces from g",
-    "lm_perplexity": "with " + _CLEAN + ",\n" + _model("dirty", "documents") + ",\n" + _model("clean", "kept") + "\n" + _perplexity("dirty", "sucio") + "\nunion all " + _perplexity("clean", "limpio"),
+    "lm_perplexity": "with " + _CLEAN + f""",
+trained as (select * from documents where {_TRAIN}), kept_train as (select * from kept where {_TRAIN}), kept_test as (select * from kept where not {_TRAIN}),
+""" + _model("dirty", "trained") + ",\n" + _model("clean", "kept_train") + ",\n" + _model("valid", "kept_test") + "\n" + _perplexity("dirty", "sucio") + "\nunion all " + _perplexity("clean", "limpio"),
     "bpe_words": f"select palabra, count(*) veces from (select unnest({_WORDS}) palabra from documents) group by 1",
 }
