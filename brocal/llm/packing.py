@@ -15,8 +15,8 @@ from brocal.session import cut, partitions, ship
 CAPACITY = 2048
 #: Iterations of the fit of repeat counts, and how small its steps may become.
 STEPS, ENOUGH = 400, 1e-6
-#: Parts that the items of one length are numbered in.
-SALTS = 256
+#: Parts that all items are numbered in, shared out among the lengths by their numbers of items.
+PARTS = 65_536
 
 
 def patterns_of(present: np.ndarray, capacity: int) -> np.ndarray:
@@ -183,9 +183,9 @@ def packed(lengths: DataFrame, key: str, tokens: str = "tokens", capacity: int =
     containers and a rest, numbered from 0.  Containers are numbered from 0.
 
     Only the histogram of lengths (at most `capacity` rows) goes to the driver,
-    where `plan` packs it.  Items of one length are numbered in SALTS parts, so
-    a length that a third of the items have is spread; part sizes (at most
-    SALTS * capacity rows) are broadcast.
+    where `plan` packs it.  Items of one length are numbered in parts, as many
+    as its share of PARTS, so that parts are of about one size whatever the
+    lengths; part sizes (at most PARTS + capacity rows) are broadcast.
 
     Items of length 0 or null take no room and are spread over the containers
     (container 0 if there is none).  Items may be repeated and keys null; each
@@ -199,9 +199,13 @@ def packed(lengths: DataFrame, key: str, tokens: str = "tokens", capacity: int =
     full, rest = F.floor(n / capacity).cast("bigint"), n % capacity
     sizes = F.concat(F.array_repeat(F.lit(capacity).cast("bigint"), full.cast("int")), F.when((rest > 0) | (n == 0), F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     items = lengths.select(F.col(f"`{key}`"), F.posexplode(sizes).alias("pieza", "tokens"))
-    items = cut(items.withColumn("__salt", (F.spark_partition_id() + F.monotonically_increasing_id()) % SALTS))
+    items = cut(items.withColumn("__id", F.spark_partition_id() + F.monotonically_increasing_id()))
+    histogram = {r["tokens"]: r["n"] for r in items.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = max(1, sum(histogram.values()))
+    # a part of fewer than 1,000 items saves nothing
+    salts = spark.createDataFrame([(k, max(1, min(-(-m * PARTS // total), m // 1000))) for k, m in histogram.items()], "tokens long, __parts long")
+    items = items.join(F.broadcast(salts), "tokens").withColumn("__salt", F.col("__id") % F.col("__parts"))
     parts = cut(items.groupBy("tokens", "__salt").agg(F.count(F.lit(1)).alias("__n")))
-    histogram = {r["tokens"]: r["n"] for r in parts.groupBy("tokens").agg(F.sum("__n").alias("n")).collect()}
     made = plan({k: v for k, v in histogram.items() if k > 0}, capacity)
     before = Window.partitionBy("tokens").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("tokens", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

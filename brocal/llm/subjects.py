@@ -251,7 +251,7 @@ def learn(counts: dict[tuple[int, int], float], known: dict[tuple[int, int, int]
     return dict(zip(keys, post.tolist()))
 
 
-def subject_posteriors(documents: DataFrame, subjects: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+def subject_posteriors(documents: DataFrame, subjects: DataFrame, labels: DataFrame, key: str = "doc_id", calibrate: bool = True) -> DataFrame:
     """`key`, subject, posterior: for each document and subject of which its prose says anything.
 
     1. Lexicon: of at most SAMPLE labelled documents (those with the smallest
@@ -265,6 +265,8 @@ def subject_posteriors(documents: DataFrame, subjects: DataFrame, labels: DataFr
        (whether the subject is usual there, by the sample).
     3. Patterns of votes are counted over all documents; a latent model learns
        how accurate each function is and gives each pattern its posterior.
+       With `calibrate`, the labels kept back weigh as much in this as all
+       documents; without, accuracies are learned from the votes alone.
 
     Two reads of the documents, no shuffle of texts; the vote table is written
     to the shared folder between.  To the driver go the lexicon and the counts
@@ -307,7 +309,7 @@ def subject_posteriors(documents: DataFrame, subjects: DataFrame, labels: DataFr
     counts = {(r["k"], r["patron"]): float(r["count"]) for r in votes.groupBy("k", "patron").count().collect()}
     order = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
     judged = votes.join(F.broadcast(chosen.where(held)), key).select("k", "patron", F.array_contains("labels", F.get(order, F.col("k"))).cast("int").alias("y"))
-    known = {(r["k"], r["patron"], r["y"]): float(r["count"]) for r in judged.groupBy("k", "patron", "y").count().collect()}
+    known = {(r["k"], r["patron"], r["y"]): float(r["count"]) for r in judged.groupBy("k", "patron", "y").count().collect()} if calibrate else {}
     posterior = [(k, p, x) for (k, p), x in learn(counts, known, len(names)).items()]
     table = spark.createDataFrame(posterior, "k int, patron int, posterior double")
     return votes.join(F.broadcast(table), ["k", "patron"]).select(key, F.get(order, F.col("k")).alias("subject"), "posterior")

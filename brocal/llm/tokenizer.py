@@ -57,7 +57,9 @@ class Encoder:
     adjacent tokens is one that merging leaves apart.  So the text is walked
     from the left with the longest token that fits, tried shorter or taken
     back where it is not compatible with its neighbour.  Every position is
-    left at most once for good, so the walk is linear in the text.
+    left at most once for good, so the walk is linear in the text.  Finding
+    the longest tokens costs a step for each token that ends at a byte, of
+    which there are no more than the longest token has bytes.
     """
 
     def __init__(self, tokens: dict[str, int], merges: list[tuple[int, int, int]], words: int = WORDS, pairs: int = PAIRS):
@@ -171,7 +173,10 @@ class _Encode:
         self.vocabulary, self.lengths = vocabulary, lengths
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*self.vocabulary.value)
+        encoder = getattr(self.vocabulary, "encoder", None)
+        if encoder is None:
+            # the worker keeps the broadcast, so all its tasks share one automaton
+            encoder = self.vocabulary.encoder = Encoder(*self.vocabulary.value)
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)

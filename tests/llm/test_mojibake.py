@@ -51,3 +51,13 @@ def test_segments_against_brute_force(seed):
     assert all(sum(scores[b:e]) == pytest.approx(s) and s > 0 for b, e, s in got)
     assert all(a[1] <= b[0] for a, b in zip(sorted(got), sorted(got)[1:]))
     assert SUSPECT
+
+
+def test_text_that_was_damaged_many_times_is_restored(spark):
+    clean = [f"El árbol número {i} está allí: mañana, según el niño, habrá más canción y corazón" for i in range(400)]
+    bad = "mañana habrá más canción"
+    for _ in range(6):
+        bad = "".join(bytes([b]).decode("latin-1") if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in bad.encode("utf-8"))
+    df = spark.createDataFrame([("t", str(i), "c", x) for i, x in enumerate([*clean, bad, "todo � mal", "sin\x93comillas\x94", None, ""])], "tabla string, fila_id string, campo string, texto string")
+    got = {r["fila_id"]: r["original"] for r in garbled(df).collect()}
+    assert got == {"400": "mañana habrá más canción", "401": None, "402": None}

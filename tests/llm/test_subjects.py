@@ -61,3 +61,21 @@ def test_the_model_learns_where_a_quarter_begins():
     post = learn(counts, {}, 1)
     by = [x for _, x in sorted((unpack(p)[0], v) for (_, p), v in post.items())]
     assert by == sorted(by) and by[0] < 0.5 < by[-1]
+
+
+def test_sentences_are_judged_at_once_as_one_by_one():
+    from brocal.llm.subjects import SENTENCE, Voter
+    from brocal.llm.prose import words
+
+    lexicon = {"gol": (0, 2.5), "partido gol": (0, 1.5), "atomo": (1, 3.5), "juez": (2, 3.2), "gol juez": (2, 4.0)}
+    sentences = ["Un partido, gol.", "Gol", "El ÁTOMO", "gol juez", "nada", "", "juez atomo átomo"]
+
+    def one(s):
+        found, ws = [0.0] * 3, words(s)
+        for t in ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])]:
+            if t in lexicon:
+                found[lexicon[t][0]] += lexicon[t][1]
+        return found.index(max(found)) if max(found) > SENTENCE else -1
+
+    assert Voter(lexicon, 3, {}).subjects(sentences) == [one(s) for s in sentences] == [0, -1, 1, 2, -1, -1, 1]
+    assert Voter({}, 3, {}).subjects(sentences) == [-1] * 7
