@@ -50,8 +50,13 @@ def followers(follows: DataFrame) -> DataFrame:
     return follows.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("followers"))
 
 
-def influencers(nodes: DataFrame, follows: DataFrame, top: int = 10) -> DataFrame:
-    return nodes.join(followers(follows), "id").orderBy(F.desc("followers"), "id").limit(top)
+def influencers(nodes: DataFrame, follows: DataFrame, top: int = 10, posts: DataFrame | None = None) -> DataFrame:
+    """The users with the most followers; with the number of their `posts`, if these are given."""
+    best = nodes.join(followers(follows), "id").orderBy(F.desc("followers"), "id").limit(top)
+    if posts is None:
+        return best
+    written = posts.join(F.broadcast(best.select(F.col("id").alias("user_id"))), "user_id", "left_semi").groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("posts"))
+    return best.join(F.broadcast(written), "id", "left").fillna(0, ["posts"]).orderBy(F.desc("followers"), "id")
 
 
 def communities(interests: DataFrame, top: int = 10) -> DataFrame:

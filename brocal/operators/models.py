@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -13,12 +14,13 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvalu
 from pyspark.ml.feature import PCA, Imputer, MinMaxScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brocal.operators.neighbours import nearest
 from brocal.operators.ranking import balance, split
 from brocal.session import cut
+from brocal.sources import store
 
 SEED = 42
 SPAM_FEATURES = ("posts_count", "avg_text_length", "avg_hashtags_per_post", "unique_texts_ratio", "days_active", "posts_per_day", "likes_given", "likes_received", "followers_count", "following_count", "follow_ratio")
@@ -57,7 +59,7 @@ def roc(pred: DataFrame, points: int = 50, label: str = "label") -> DataFrame:
 
 
 def _sides(df: DataFrame, key: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    d = split(df, key, share).cache()
+    d = cut(split(df, key, share))
     return d.where("parte = 'train'"), d.where("parte = 'test'")
 
 
@@ -101,7 +103,7 @@ def churn(stats: DataFrame, last: DataFrame, days: int = 30) -> dict:
 def clusters(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = (3, 4, 5, 6, 7)) -> tuple[DataFrame, dict]:
     """Rows with the cluster of the k of the best silhouette, and these by k."""
     _, d = vectors(df, columns)
-    d = d.cache()
+    d = cut(d)
     fitted = {k: KMeans(k=k, seed=SEED).fit(d).transform(d) for k in ks}
     scores = {k: ClusteringEvaluator().evaluate(p) for k, p in fitted.items()}
     best = max(scores, key=scores.get)
@@ -137,6 +139,22 @@ def prototypes(df: DataFrame, columns: Sequence[str], label: str, k: int) -> Dat
     return pred.groupBy("prediction").agg(*[F.avg(c).alias(c) for c in columns]).join(modal, "prediction")
 
 
+def loadings(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
+    """componente, columna, carga of the first k components of standardised columns."""
+    _, d = vectors(df.dropna(subset=list(columns)), columns)
+    pc = PCA(k=k, inputCol="features", outputCol="pc").fit(d).pc.toArray()
+    return df.sparkSession.createDataFrame([(j + 1, c, float(pc[i, j])) for j in range(k) for i, c in enumerate(columns)], "componente int, columna string, carga double")
+
+
+def scatter(df: DataFrame, key: str, columns: Sequence[str], most: int = 500) -> DataFrame:
+    """`key`, x, y: up to `most` rows (by hash) on the first two components."""
+    from brocal.operators.ranking import sample_exact
+
+    _, d = vectors(df.dropna(subset=list(columns)), columns)
+    shown = PCA(k=2, inputCol="features", outputCol="pc").fit(d).transform(d).select(key, vector_to_array("pc").alias("p"))
+    return sample_exact(shown, key, most).select(key, F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
 def principal(df: DataFrame, columns: Sequence[str], enough: float = 0.95) -> DataFrame:
     """componente, varianza, acumulada of as many components as explain enough."""
     _, d = vectors(df.dropna(subset=list(columns)), columns)
@@ -160,24 +178,93 @@ def importances(df: DataFrame, columns: Sequence[str], label: str, how: str = "f
     return df.sparkSession.createDataFrame([(c, float(w)) for c, w in zip(columns, weights)], "columna string, peso double")
 
 
-def wrapper(df: DataFrame, key: str, columns: Sequence[str], label: str, most: int = 3) -> DataFrame:
-    """paso, columna, auc: features added one by one, each the one with which a forest does best."""
-    d = split(df.withColumn("label", F.col(label).cast("int")).fillna(0, list(columns)), key).cache()
-    chosen: list[str] = []
-    rows = []
-    while len(chosen) < min(most, len(columns)):
-        scores = {}
-        for c in columns:
-            if c not in chosen:
-                v = VectorAssembler(inputCols=[*chosen, c], outputCol="features").transform(d)
-                m = RandomForestClassifier(numTrees=20, maxDepth=5, seed=SEED).fit(v.where("parte = 'train'"))
-                scores[c] = BinaryClassificationEvaluator().evaluate(m.transform(v.where("parte = 'test'")))
-        best = max(scores, key=scores.get)
-        chosen.append(best)
-        rows.append((len(chosen), best, scores[best]))
+def _auc(d: DataFrame, columns: Sequence[str], folds: int, trees: int, depth: int) -> float:
+    """Mean area under the curve of a forest over folds by hash."""
+    v = VectorAssembler(inputCols=list(columns), outputCol="features").transform(d)
+    scores = []
+    for f in range(folds):
+        m = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED).fit(v.where(F.col("fold") != f))
+        scores.append(BinaryClassificationEvaluator().evaluate(m.transform(v.where(F.col("fold") == f))))
+    return float(np.mean(scores))
+
+
+def wrapper(df: DataFrame, key: str, columns: Sequence[str], label: str, keep: int = 3, how: str = "forward", folds: int = 3, trees: int = 50, depth: int = 8) -> DataFrame:
+    """paso, columna, auc: features chosen by what a forest makes of them, in `folds` folds.
+
+    forward: added one by one, each the one with which the forest does best.
+    backward: dropped one by one, each the one without which it does best.
+    rfe: dropped one by one, each the one to which it gives the least weight.
+    The auc of a step is that of the set after it.
+    """
+    d = df.select(key, F.col(label).cast("int").alias("label"), *[F.col(c).cast("double") for c in columns]).fillna(0, list(columns)).withColumn("fold", _folds(key, folds, 0)).cache()
+    chosen, rows = ([], []) if how == "forward" else (list(columns), [])
+    keep = min(keep, len(columns))
+    while len(chosen) != keep:
+        if how == "rfe":
+            v = VectorAssembler(inputCols=chosen, outputCol="features").transform(d)
+            weights = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED).fit(v).featureImportances.toArray()
+            moved = chosen[int(np.argmin(weights))]
+            new = [c for c in chosen if c != moved]
+            score = _auc(d, new, folds, trees, depth)
+        else:
+            tried = {c: [*chosen, c] if how == "forward" else [x for x in chosen if x != c] for c in (columns if how == "forward" else chosen) if how != "forward" or c not in chosen}
+            scores = {c: _auc(d, s, folds, trees, depth) for c, s in tried.items()}
+            moved = max(scores, key=scores.get)
+            new, score = tried[moved], scores[moved]
+        chosen = new
+        rows.append((len(rows) + 1, moved, score))
+    d.unpersist()
     return df.sparkSession.createDataFrame(rows, "paso int, columna string, auc double")
 
 
+def family_consensus(df: DataFrame, key: str, columns: Sequence[str], label: str, keep: int = 3, **forest) -> DataFrame:
+    """columna, familias, votos, consenso: which of filter (correlation), wrapper (forward) and embedded (forest weights) selection choose a column; consensus is all three."""
+    from brocal.operators.prep import filter_scores
+
+    keep = min(keep, len(columns))
+    by_filter = [r["columna"] for r in filter_scores(df, columns, label).orderBy(F.desc_nulls_last("pearson"), "columna").limit(keep).collect()]
+    by_wrapper = [r["columna"] for r in wrapper(df, key, columns, label, keep, **forest).collect()]
+    by_weight = [r["columna"] for r in importances(df, columns, label).orderBy(F.desc("peso"), "columna").limit(keep).collect()]
+    chosen = {"filtro": by_filter, "envoltorio": by_wrapper, "incrustado": by_weight}
+    rows = [(c, [n for n, cs in chosen.items() if c in cs]) for c in columns]
+    return df.sparkSession.createDataFrame([(c, ",".join(f), len(f), len(f) == 3) for c, f in rows], "columna string, familias string, votos int, consenso boolean")
+
+
+def save_run(folder: str, name: str, model=None, predictions: DataFrame | None = None, values: dict | None = None) -> None:
+    """A model, its predictions and metrics.json under folder/name."""
+    if model is not None:
+        model.write().overwrite().save(f"{folder}/{name}/model")
+    if predictions is not None:
+        predictions.drop("rawPrediction", "raw", "features").write.mode("overwrite").parquet(f"{folder}/{name}/predictions")
+    store.write_text(f"{folder}/{name}/metrics.json", json.dumps(values or {}))
+
+
+def read_metrics(folder: str, name: str) -> dict:
+    text = store.read_text(f"{folder}/{name}/metrics.json")
+    return json.loads(text) if text else {}
+
+
+def read_predictions(spark, folder: str, name: str, value: float | None = None) -> DataFrame:
+    """Predictions of a saved run, of one value if given."""
+    d = spark.read.parquet(f"{folder}/{name}/predictions")
+    return d if value is None else d.where(F.col("prediction") == value)
+
+
+def run_all(jobs: dict[str, Callable[[], dict | None]], folder: str | None = None) -> DataFrame:
+    """modelo, estado (ok, empty, failed), detalle of jobs in their order; a failure doesn't stop those that follow. Metrics are saved under `folder`."""
+    rows = []
+    for name, job in jobs.items():
+        try:
+            values = job()
+        except Exception as e:  # the report says what went wrong
+            rows.append((name, "failed", f"{type(e).__name__}: {e}"[:500]))
+            continue
+        if folder is not None and values:
+            save_run(folder, name, values=values)
+        rows.append((name, "ok" if values else "empty", json.dumps(values or {})))
+    return SparkSession.active().createDataFrame(rows, "modelo string, estado string, detalle string")
+
+
 def _folds(key: str, folds: int, salt: int):
     return F.pmod(F.xxhash64(F.col(key), F.lit(SEED + salt)), F.lit(folds)).cast("bigint")
 
@@ -254,6 +341,7 @@ def label_noise(df: DataFrame, key: str, columns: Sequence[str], label: str, how
         found = cut(found.unionByName(new))
         if how != "IPF":
             break
+    d.unpersist()
     return found
 
 
@@ -269,6 +357,7 @@ def noise_check(df: DataFrame, key: str, columns: Sequence[str], label: str, how
     """What a filter finds of labels turned round on purpose."""
     d = flip_labels(df, key, label, share).cache()
     r = d.select(key, "volteada").join(label_noise(d, key, columns, label, how, k).withColumn("ruido", F.lit(True)), key, "left").agg(F.count_if("volteada").alias("injected"), F.count_if("ruido").alias("detected"), F.count_if(F.col("volteada") & F.col("ruido")).alias("tp")).first()
+    d.unpersist()
     p, q = r["tp"] / max(1, r["detected"]), r["tp"] / max(1, r["injected"])
     return {"injected": r["injected"], "detected": r["detected"], "true_positives": r["tp"], "false_positives": r["detected"] - r["tp"], "false_negatives": r["injected"] - r["tp"], "precision": p, "recall": q, "f1": 2 * p * q / max(1e-12, p + q)}
 

@@ -188,6 +188,39 @@ def timeline(posts: DataFrame, follows: DataFrame, user: str, skip: int = 0, lim
     return posts.join(whom, "user_id", "left_semi").orderBy(F.desc("created_at"), "_id").offset(skip).limit(limit)
 
 
+def listed_posts(posts: DataFrame, user: str | None = None, tag: str | None = None, skip: int = 0, limit: int = 20) -> DataFrame:
+    """The latest posts, of one user or with one tag if given."""
+    if user is not None:
+        posts = posts.where(F.col("user_id") == user)
+    return posts_with_tag(posts, tag, skip, limit) if tag is not None else posts.orderBy(F.desc("created_at"), "_id").offset(skip).limit(limit)
+
+
+def post(posts: DataFrame, post_id: str) -> DataFrame:
+    return posts.where(F.col("_id") == post_id)
+
+
+def likes_of(likes: DataFrame, users: DataFrame, post_id: str, skip: int = 0, limit: int = 20) -> DataFrame:
+    """Who liked a post, the latest first."""
+    given = likes.where(F.col("post_id") == post_id).select("user_id", "created_at")
+    return given.join(users.select(F.col("_id").alias("user_id"), "username"), "user_id").orderBy(F.desc("created_at"), "user_id").offset(skip).limit(limit)
+
+
+def related(follows: DataFrame, users: DataFrame, user: str, side: str = "followers", skip: int = 0, limit: int = 20) -> DataFrame:
+    """The followers of a user, or (side "following") those whom the user follows, by name."""
+    of, other = ("following_id", "follower_id") if side == "followers" else ("follower_id", "following_id")
+    ids = follows.where(F.col(of) == user).select(F.col(other).alias("_id")).distinct()
+    return users.join(ids, "_id", "left_semi").select("_id", "username").orderBy("username", "_id").offset(skip).limit(limit)
+
+
+def documents_of(users: DataFrame) -> DataFrame:
+    """User rows as documents without gaps: empty text is none, names fall back on the user name, counters and flags on nothing."""
+    text = {c: F.nullif(F.col(c), F.lit("")) for c in ("username", "display_name", "bio") if c in users.columns}
+    filled = {c: F.coalesce(F.col(c), F.lit(0).cast(t)) for c, t in users.dtypes if t in ("int", "bigint", "double") and c.endswith("_count")}
+    flags = {c: F.coalesce(F.col(c), F.lit(False)) for c, t in users.dtypes if t == "boolean"}
+    df = users.withColumns(text).withColumns(filled | flags)
+    return df.withColumns({"display_name": F.coalesce("display_name", "username"), "bio": F.coalesce("bio", F.lit(""))})
+
+
 def posts_with_tag(posts: DataFrame, tag: str, skip: int = 0, limit: int = 20) -> DataFrame:
     return posts.where(F.array_contains("hashtags", tag)).orderBy(F.desc("created_at"), "_id").offset(skip).limit(limit)
 

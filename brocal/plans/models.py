@@ -18,22 +18,22 @@ def _stats(s):
 
 def spam(spark, sf):
     s = silver(spark, sf)
-    return M.metrics(spark, **M.spam_detector(S.spam_features(s["users"], s["posts"], s["likes"], s["follows"]).cache(), 50)[1])
+    return M.metrics(spark, **M.spam_detector(S.spam_features(s["users"], s["posts"], s["likes"], s["follows"]))[1])
 
 
 def roc(spark, sf):
     s = silver(spark, sf)
-    return M.roc(M.spam_detector(S.spam_features(s["users"], s["posts"], s["likes"], s["follows"]).cache(), 20)[0])
+    return M.roc(M.spam_detector(S.spam_features(s["users"], s["posts"], s["likes"], s["follows"]))[0])
 
 
 def engagement(spark, sf):
     s = silver(spark, sf)
-    return M.metrics(spark, **M.engagement(S.loaded_likes(s["posts"], s["likes"]).cache()))
+    return M.metrics(spark, **M.engagement(S.loaded_likes(s["posts"], s["likes"])))
 
 
 def virality(spark, sf):
     s = silver(spark, sf)
-    return M.metrics(spark, **M.virality(S.loaded_likes(s["posts"], s["likes"]).cache()))
+    return M.metrics(spark, **M.virality(S.loaded_likes(s["posts"], s["likes"])))
 
 
 def churn(spark, sf):
@@ -44,10 +44,16 @@ def churn(spark, sf):
 
 def clusters(spark, sf):
     columns = ("posts_count", "likes_given", "followers_count")
-    pred, _ = M.clusters(_stats(silver(spark, sf)).cache(), columns)
+    pred, _ = M.clusters(_stats(silver(spark, sf)), columns)
     return M.cluster_summary(pred, columns)
 
 
+def noise_check(d):
+    """What each filter finds of labels turned round on purpose."""
+    found = {how: M.noise_check(d, "id", NUM, "failure_next_48h", how) for how in ("EF", "CVCF", "IPF")}
+    return d.sparkSession.createDataFrame([(how, m, float(v)) for how, r in found.items() for m, v in r.items()], "filtro string, metrica string, valor double")
+
+
 def robots(f):
     return lambda spark, sf: f(table(spark, sf, "robots"))
 
@@ -55,9 +61,13 @@ def robots(f):
 QUERIES = {
     "ml_spam": spam, "ml_engagement": engagement, "ml_virality": virality, "ml_churn": churn, "ml_clusters": clusters,
     "ml_pca": robots(lambda d: M.principal(d, NUM)), "ml_importances": robots(lambda d: M.importances(d, NUM, "failure_next_48h")), "ml_l1": robots(lambda d: M.importances(d, NUM, "failure_next_48h", "l1")),
-    "ml_wrapper": robots(lambda d: M.wrapper(d, "id", NUM, "failure_next_48h", 2)), "ml_noise_ef": robots(lambda d: M.label_noise(d, "id", NUM, "failure_next_48h", "EF")), "ml_noise_cvcf": robots(lambda d: M.label_noise(d, "id", NUM, "failure_next_48h", "CVCF")),
+    "ml_wrapper": robots(lambda d: M.wrapper(d, "id", NUM, "failure_next_48h")),
+    "ml_wrapper_backward": robots(lambda d: M.wrapper(d, "id", NUM, "failure_next_48h", how="backward")), "ml_wrapper_rfe": robots(lambda d: M.wrapper(d, "id", NUM, "failure_next_48h", how="rfe")),
+    "ml_families": robots(lambda d: M.family_consensus(d, "id", NUM, "failure_next_48h")), "ml_loadings": robots(lambda d: M.loadings(d, NUM, 2)), "ml_scatter": robots(lambda d: M.scatter(d, "id", NUM)),
+    "ml_noise_ipf": robots(lambda d: M.label_noise(d, "id", NUM, "failure_next_48h", "IPF")), "ml_noise_check": robots(noise_check),
+    "ml_noise_ef": robots(lambda d: M.label_noise(d, "id", NUM, "failure_next_48h", "EF")), "ml_noise_cvcf": robots(lambda d: M.label_noise(d, "id", NUM, "failure_next_48h", "CVCF")),
     "ml_tsne": robots(lambda d: map_sample(d, "id", NUM)), "ml_roc": roc,
     "impute_kmeans": robots(lambda d: M.impute_kmeans(d, "id", "battery_health_v2", NUM)), "sample_clusters": robots(lambda d: M.largest_clusters(d, NUM, 5, 2).select("id")), "sample_prototypes": robots(lambda d: M.prototypes(d, NUM, "failure_next_48h", 8)),
-    "ml_studio": lambda spark, sf: M.metrics(spark, **M.studio(table(spark, sf, "robots"), "id", NUM, "failure_next_48h", {"missing": "median", "outliers": "iqr", "normalize": "standard", "pca": 3, "balance": "under", "trees": 30})),
+    "ml_studio": lambda spark, sf: M.metrics(spark, **M.studio(table(spark, sf, "robots"), "id", NUM, "failure_next_48h", {"missing": "median", "outliers": "iqr", "normalize": "standard", "pca": 3, "balance": "under"})),
 }
 SQL: dict[str, str] = {}

@@ -43,6 +43,55 @@ def run(df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str, checkp
     return [metrics(p) for p in q.recentProgress]
 
 
+class Crash(RuntimeError):
+    """The end that `crashing` puts to a run."""
+
+
+def crashing(sink: Callable[[DataFrame, int], None], after: int) -> Callable[[DataFrame, int], None]:
+    """`sink`, but the run ends in a failure when batch number `after` begins: nothing of this batch is written."""
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        if batch_id >= after:
+            raise Crash(f"before batch {batch_id}")
+        sink(batch, batch_id)
+
+    return one
+
+
+def recovered(make: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], mode: str, checkpoint: str, after: int) -> tuple[int, int]:
+    """Rows that a run read until it failed before batch `after`, and rows that a second run with the same checkpoint read: together each row once."""
+    rows = [0, 0]
+
+    def counted(i: int) -> Callable[[DataFrame, int], None]:
+        def one(batch: DataFrame, batch_id: int) -> None:
+            rows[i] += batch.count()
+            sink(batch, batch_id)
+
+        return one
+
+    try:
+        run(make(), crashing(counted(0), after), mode, checkpoint)
+    except Exception as e:
+        if Crash.__name__ not in str(e):
+            raise
+    run(make(), counted(1), mode, checkpoint)
+    return rows[0], rows[1]
+
+
+def evolution(df: DataFrame, column: str) -> list[tuple[int, list[str]]]:
+    """For each micro-batch of a stream of few groups, in complete mode, the values of a column that the answer has by then."""
+    seen: list[tuple[int, list[str]]] = []
+    run(df, lambda batch, i: seen.append((i, sorted(r[0] for r in batch.select(column).distinct().collect()))), "complete")
+    return seen
+
+
+def right_from(seen: list[tuple[int, list[str]]], answer: list[str]) -> int | None:
+    """The first micro-batch from which on the answer is right and stays so."""
+    wrong = [i for i, values in seen if values != sorted(answer)]
+    later = [i for i, _ in seen if not wrong or i > wrong[-1]]
+    return later[0] if later else None
+
+
 def to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over what there is into an in-memory table of the driver."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
