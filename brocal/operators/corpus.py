@@ -14,14 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brocal.functions.clean import BROKEN_CORPUS, fix_encoding, redact, redactions, strip, strip_html, voted_language
-from brocal.operators.skew import hot_limit, left_back
+from brocal.operators.skew import block_pairs, hot_limit, left_back
 from brocal.session import cut, partitions, shared_folder, ship
 from brocal.sources import store
 
 #: Words of a shingle, and the similarity from which texts are near duplicates.
 WORDS, SIMILAR = 5, 0.8
-#: Members of a bucket from which it is cut into blocks.
-BUCKET = 2_000
 WORD = r"[\p{L}\p{N}_]+"
 TOKEN = r"[\p{L}\p{N}_]+|[.,;:¿?¡!]"
 MERSENNE = 2**31 - 1
@@ -153,23 +151,13 @@ def similar_pairs(df: DataFrame, key: str = "doc_id", similar: float = SIMILAR,
     return members, out
 
 
-def bucket_pairs(rows: DataFrame, by: Sequence[str], most: int = BUCKET) -> DataFrame:
-    """a, b (a < b) of all ids that share a bucket; large buckets are cut into blocks, and blocks meet pairwise, each pair of blocks in its own task."""
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("k", F.ceil(F.col("n") / most).cast("int"))
-    placed = rows.join(sizes.drop("n"), list(by)).withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    ahead = placed.select(*by, F.col("id").alias("x"), F.col("i").alias("p"), F.explode(F.expr("sequence(i, k - 1)")).alias("q"))
-    back = placed.select(*by, F.col("id").alias("y"), F.explode(F.expr("sequence(0, i)")).alias("p"), F.col("i").alias("q"))
-    met = ahead.join(back, [*by, "p", "q"]).where((F.col("x") != F.col("y")) & ((F.col("p") != F.col("q")) | (F.col("x") < F.col("y"))))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def lsh_pairs(df: DataFrame, key: str = "doc_id", bands: int = 16, width: int = 4, similar: float = SIMILAR, words: int = WORDS) -> DataFrame:
     """a, b, jaccard of different shingle sets that share a band of their signatures and are similar."""
     _, sets = _sets(df, key, words)
     sets = cut(sets)
     sig = _signed(sets, "id", bands * width)
     rows = cut(sig.select("id", F.posexplode(F.array(*[F.xxhash64(F.slice("firma", i * width + 1, width)) for i in range(bands)])).alias("band", "h")))
-    pairs = bucket_pairs(rows, ["band", "h"])
+    pairs = block_pairs(rows, "id", ["band", "h"]).distinct()
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return full.select("a", "b", F.round(both / (F.size("sa") + F.size("sb") - both), 6).alias("jaccard")).where(F.col("jaccard") >= similar)

@@ -44,7 +44,7 @@ def confusion(pred: DataFrame, label: str = "label") -> dict[str, float]:
     r = pred.agg(*[F.count_if((F.col(label) == a) & (F.col("prediction") == b)).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)]).first()
     tp, fp, fn, tn = r["c11"], r["c01"], r["c10"], r["c00"]
     p, q = tp / max(1, tp + fp), tp / max(1, tp + fn)
-    return {"precision": p, "recall": q, "f1": 2 * p * q / max(1e-12, p + q), "accuracy": (tp + tn) / max(1, tp + tn + fp + fn)}
+    return {"precision": p, "recall": q, "f1": 2 * p * q / max(1e-12, p + q), "accuracy": (tp + tn) / max(1, tp + tn + fp + fn), "tp": tp, "fp": fp, "fn": fn, "tn": tn}
 
 
 def roc(pred: DataFrame, points: int = 50, label: str = "label") -> DataFrame:
@@ -363,12 +363,18 @@ def noise_check(df: DataFrame, key: str, columns: Sequence[str], label: str, how
 
 
 def studio(df: DataFrame, key: str, columns: Sequence[str], label: str, config: dict) -> dict:
-    """One run: missing (drop, mean, median), outliers (iqr), normalize (standard, minmax), pca, balance (train only), a forest; its metrics."""
+    """One run: missing (drop, mean, median, knn, kmeans), outliers (iqr), normalize (standard, minmax), pca, balance (train only), a forest; its metrics, with `roc` the points of the curve."""
     from brocal.operators.prep import handle_outliers
 
     d = df.select(key, F.col(label).cast("int").alias("label"), *[F.col(c).cast("double") for c in columns])
     if config.get("missing", "drop") == "drop":
         d = d.dropna(subset=list(columns))
+    elif config["missing"] in ("knn", "kmeans"):
+        from brocal.operators.prep import impute_knn
+
+        for c in columns:
+            fill = impute_knn(d, key, c, columns) if config["missing"] == "knn" else impute_kmeans(d, key, c, columns)
+            d = cut(d.drop(c).join(fill.withColumnRenamed("valor", c), key))
     else:
         d = Imputer(inputCols=list(columns), outputCols=list(columns), strategy=config["missing"]).fit(d).transform(d)
     if config.get("outliers") == "iqr":
@@ -385,4 +391,7 @@ def studio(df: DataFrame, key: str, columns: Sequence[str], label: str, config:
     if config.get("balance"):
         train = balance(train.select(key, "label", "features"), key, "label", config["balance"])
     pred = RandomForestClassifier(numTrees=config.get("trees", 100), maxDepth=8, seed=SEED).fit(train).transform(test)
-    return {"filas": d.count(), "auc": BinaryClassificationEvaluator().evaluate(pred), **confusion(pred)}
+    made = {"filas": d.count(), "auc": BinaryClassificationEvaluator().evaluate(pred), **confusion(pred)}
+    if config.get("roc"):
+        made["roc"] = [(r["umbral"], r["fpr"], r["tpr"]) for r in roc(pred).orderBy("umbral").collect()]
+    return made

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 1000
 #: And it has more rows than this, as few rows need no splitting.
 HOT_ROWS = 100_000
+#: Members of a group from which its pairs are made by blocks.
+BLOCK = 2_000
 
 
 def hot_limit(total: int) -> int:
@@ -39,3 +41,19 @@ def left_back(rows: DataFrame, wanted: DataFrame, by: Sequence[str], size: str,
     hot = F.broadcast(wanted.where(F.col(size) > limit).drop(size))
     of_rest = rows.join(hot.select(*by), by, "left_anti").join(wanted.where(F.col(size) <= limit).drop(size), by, "left")
     return rows.join(hot, by).unionByName(of_rest)
+
+
+def block_pairs(rows: DataFrame, member: str, by: Sequence[str], most: int = BLOCK) -> DataFrame:
+    """a, b (a < b): the pairs of different members of each group, once for each group that they share.
+
+    Groups of more than `most` are cut into blocks by hash, and blocks meet
+    pairwise, each two of them in a task of their own.  For results that are
+    the pairs themselves; members are listed once in a group.
+    """
+    by = list(by)
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*by, F.ceil(F.col("__n") / most).cast("int").alias("__k"))
+    placed = rows.select(*by, F.col(member).alias("__m")).join(sizes, by).withColumn("__i", F.pmod(F.xxhash64("__m"), F.col("__k")).cast("int"))
+    ahead = placed.select(*by, F.col("__m").alias("__x"), F.col("__i").alias("__p"), F.explode(F.sequence(F.col("__i"), F.col("__k") - 1)).alias("__q"))
+    back = placed.select(*by, F.col("__m").alias("__y"), F.explode(F.sequence(F.lit(0), F.col("__i"))).alias("__p"), F.col("__i").alias("__q"))
+    met = ahead.join(back, [*by, "__p", "__q"]).where((F.col("__x") != F.col("__y")) & ((F.col("__p") != F.col("__q")) | (F.col("__x") < F.col("__y"))))
+    return met.select(F.least("__x", "__y").alias("a"), F.greatest("__x", "__y").alias("b"))

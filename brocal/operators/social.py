@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brocal.functions.clean import fix_encoding, normal_hashtags, normal_username, parse_when, spam_rule
 from brocal.operators.copies import first_by
 from brocal.operators.ranking import global_rank
-from brocal.operators.skew import hot_limit, left_back
+from brocal.operators.skew import block_pairs, hot_limit, left_back
 
 #: Parts into which the copies of one text by one author are split.
 SPLIT = 64
@@ -130,15 +130,14 @@ def community_edges(posts: DataFrame, follows: DataFrame, most_users: int | None
     """Weighted edges: follows (weight 1), and pairs of users by the tags that both used.
 
     The pairs of users of one tag are the result itself, so it grows with the
-    square of a tag's users; `most_users` leaves out tags with more of them
+    square of a tag's users, made by blocks in many tasks; `most_users` leaves out tags with more of them
     (a tag that all use says nothing), none by default.
     """
     followed = follows.select(F.col("follower_id").alias("source"), F.col("following_id").alias("target"), F.lit("follows").alias("type"), F.lit(1.0).alias("weight"))
     used = posts.where(~F.col("is_spam")).select("user_id", F.explode("hashtags").alias("tag")).distinct()
     if most_users is not None:
         used = used.join(used.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_users).select("tag"), "tag", "left_semi")
-    a, b = used.select("tag", F.col("user_id").alias("source")), used.select("tag", F.col("user_id").alias("target"))
-    shared = a.join(b, "tag").where("source < target").groupBy("source", "target").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    shared = block_pairs(used, "user_id", ["tag"]).groupBy(F.col("a").alias("source"), F.col("b").alias("target")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     return followed.unionByName(shared.withColumn("type", F.lit("shared_hashtag")))
 
 
@@ -233,7 +232,7 @@ def trending(trends: DataFrame, limit: int = 10) -> DataFrame:
 def follow_recommender(posts: DataFrame, follows: DataFrame, top: int = 10) -> DataFrame:
     """Whom to follow: 0.6 of shared tags and 0.4 of friends of friends, each over its maximum; not whom one follows already."""
     used = posts.select("user_id", F.explode("hashtags").alias("tag")).distinct()
-    pairs = used.alias("a").join(used.alias("b"), "tag").where("a.user_id < b.user_id").groupBy(F.col("a.user_id").alias("x"), F.col("b.user_id").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
+    pairs = block_pairs(used.where("user_id is not null"), "user_id", ["tag"]).groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
     both = pairs.select(F.col("x").alias("user_id"), F.col("y").alias("candidate"), "shared").unionByName(pairs.select(F.col("y").alias("user_id"), F.col("x").alias("candidate"), "shared"))
     ab = follows.select(F.col("follower_id").alias("user_id"), F.col("following_id").alias("via"))
     bc = follows.select(F.col("follower_id").alias("via"), F.col("following_id").alias("candidate"))

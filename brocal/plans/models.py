@@ -68,6 +68,7 @@ QUERIES = {
     "ml_noise_ef": robots(lambda d: M.label_noise(d, "id", NUM, "failure_next_48h", "EF")), "ml_noise_cvcf": robots(lambda d: M.label_noise(d, "id", NUM, "failure_next_48h", "CVCF")),
     "ml_tsne": robots(lambda d: map_sample(d, "id", NUM)), "ml_roc": roc,
     "impute_kmeans": robots(lambda d: M.impute_kmeans(d, "id", "battery_health_v2", NUM)), "sample_clusters": robots(lambda d: M.largest_clusters(d, NUM, 5, 2).select("id")), "sample_prototypes": robots(lambda d: M.prototypes(d, NUM, "failure_next_48h", 8)),
+    "ml_studio_knn": lambda spark, sf: M.metrics(spark, **M.studio(table(spark, sf, "robots"), "id", NUM, "failure_next_48h", {"missing": "knn", "normalize": "minmax"})),
     "ml_studio": lambda spark, sf: M.metrics(spark, **M.studio(table(spark, sf, "robots"), "id", NUM, "failure_next_48h", {"missing": "median", "outliers": "iqr", "normalize": "standard", "pca": 3, "balance": "under"})),
 }
 SQL: dict[str, str] = {}
