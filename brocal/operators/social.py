@@ -9,9 +9,12 @@ from brocal.functions.clean import fix_encoding, normal_hashtags, normal_usernam
 from brocal.operators.copies import first_by
 from brocal.operators.ranking import global_rank
 from brocal.operators.skew import block_pairs, hot_limit, left_back
+from brocal.session import cut
 
 #: Parts into which the copies of one text by one author are split.
 SPLIT = 64
+#: Bursts up to which they are broadcast (some 100 bytes each).
+BROADCAST_BURSTS = 100_000
 
 
 def _filled(*columns: str) -> Column:
@@ -39,21 +42,24 @@ def silver_posts(raw: DataFrame, users: DataFrame, now: Column, total: bool = Fa
     among the four earliest of each of SPLIT parts of a group, so a burst of
     any size is never gathered.
     """
-    df = raw.withColumns({"text": fix_encoding("text"), "hashtags": normal_hashtags("hashtags"), "created_at": parse_when("created_at", now)})
-    df = df.where(_filled("_id", "user_id", "text")).join(users.select(F.col("_id").alias("user_id")), "user_id", "left_semi")
+    known = cut(users.select(F.col("_id").alias("user_id")))
+    df = raw.withColumn("text", fix_encoding("text")).where(_filled("_id", "user_id", "text")).join(known, "user_id", "left_semi").withColumn("__h", F.md5("text"))
     of = ["user_id", "__h"]
-    df = df.withColumn("__h", F.md5("text"))
-    many = df.groupBy(*of).agg(F.count(F.lit(1)).alias("__n")).where("__n > 3")
-    if total:
-        out = left_back(df, many.withColumn("__many", F.lit(True)), of, "__n", hot_limit(raw.count())).withColumn("is_spam", F.col("__many").isNotNull())
-    else:
-        part = Window.partitionBy(*of, "__s").orderBy("created_at")
-        early = df.join(many, of).select(*of, "__n", "created_at", F.pmod(F.xxhash64("_id"), F.lit(SPLIT)).alias("__s")).withColumn("__i", F.row_number().over(part)).where("__i <= 4")
-        fourth = early.withColumn("__i", F.row_number().over(Window.partitionBy(*of).orderBy("created_at"))).where("__i = 4").select(*of, "__n", F.col("created_at").alias("__from"), F.lit(True).alias("__many"))
-        out = left_back(df, fourth, of, "__n", hot_limit(raw.count()))
+    many = cut(df.groupBy(*of).agg(F.count(F.lit(1)).alias("__n")).where("__n > 3").withColumn("__many", F.lit(True)))
+    at = parse_when("created_at", now)
+    if not total:
+        few = many.count() <= BROADCAST_BURSTS
+        part = Window.partitionBy(*of, "__s").orderBy("__at")
+        early = df.join(F.broadcast(many) if few else many, of).select(*of, "__n", "__many", at.alias("__at"), F.pmod(F.xxhash64("_id"), F.lit(SPLIT)).alias("__s")).withColumn("__i", F.row_number().over(part)).where("__i <= 4")
+        many = cut(early.withColumn("__i", F.row_number().over(Window.partitionBy(*of).orderBy("__at"))).where("__i = 4").select(*of, "__n", "__many", F.col("__at").alias("__from")))
+    # either way the same rows; few bursts need no shuffle of the texts
+    out = df.join(F.broadcast(many.drop("__n")), of, "left") if many.count() <= BROADCAST_BURSTS else left_back(df, many, of, "__n", hot_limit(raw.count()))
+    out = out.withColumns({"hashtags": normal_hashtags("hashtags"), "created_at": at})
+    spam = F.col("__many").isNotNull()
+    if not total:
         # without a time a row comes before all that have one
-        out = out.withColumn("is_spam", F.col("__many").isNotNull() & F.coalesce(F.col("created_at") >= F.col("__from"), F.col("__from").isNull()))
-    return out.select(*[c for c in df.columns if c not in ("__h", "is_spam", "likes_count")], "is_spam", F.lit(0).cast("bigint").alias("likes_count"))
+        spam = spam & F.coalesce(F.col("created_at") >= F.col("__from"), F.col("__from").isNull())
+    return out.withColumn("is_spam", spam).withColumn("likes_count", F.lit(0).cast("bigint")).select(*[c for c in df.columns if c not in ("__h", "is_spam", "likes_count")], "is_spam", "likes_count")
 
 
 def silver_likes(raw: DataFrame, users: DataFrame, posts: DataFrame, now: Column) -> DataFrame:
