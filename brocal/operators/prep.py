@@ -149,6 +149,19 @@ def redundant(df: DataFrame, correlations: DataFrame, columns: Sequence[str]) ->
     return out.select("a", "b", "r", F.when(F.col("va") < F.col("vb"), F.col("a")).otherwise(F.col("b")).alias("sobra"))
 
 
+def redundant_categories(df: DataFrame, columns: Sequence[str], threshold: float = 0.9) -> DataFrame | None:
+    """Of each two categorical columns whose Cramer's V is above the threshold, the one with fewer values (the second on a tie): a, b, v, sobra."""
+    kinds = df.agg(*[F.count_distinct(c).alias(f"k{i}") for i, c in enumerate(columns)]).first()
+    out = None
+    for i, a in enumerate(columns):
+        for j in range(i + 1, len(columns)):
+            b = columns[j]
+            less = a if kinds[f"k{i}"] < kinds[f"k{j}"] else b
+            one = cramers_v(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "v", F.lit(less).alias("sobra")).where(F.col("v") > threshold)
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def drop_correlated(df: DataFrame, correlations: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """`df` without the columns that repeat another: of each redundant pair whose columns are both still there, strongest first, the one with the smaller variance goes."""
     pairs = redundant(df, correlations, columns).orderBy(F.desc(F.abs("r")), "a", "b").collect()

@@ -11,6 +11,7 @@ from brocal.plans.problems import table
 from brocal.plans.social import plain
 
 NUM = ["battery_health_v2", "consumo_kw", "bateria_pct", "voltaje_v", "consumo_total_kwh"]
+CATEGORIES = ["fabricante", "almacen", "zona"]
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -120,7 +121,7 @@ QUERIES = {
     "outliers_remove": ql(lambda d: P.spread(P.handle_outliers(d, "l_extendedprice", "remove", "iqr", 0.3), "l_extendedprice")),
     "outliers_log": q("customer", lambda d: P.spread(P.handle_outliers(d, "c_acctbal", "log"), "c_acctbal")),
     **{f"integ_join_{h}": join_kind(h) for h in ("inner", "left", "right", "outer")}, "integ_union": union_permissive, "integ_keys": lambda s, d: P.key_report(*parties(s, d), "c_nationkey"),
-    "integ_cramers_v": q("lineitem", lambda d: P.cramers_v(d, "l_returnflag", "l_linestatus")), "integ_redundant": q("robots", redundant), "integ_drop_correlated": q("robots", dropped),
+    "integ_cramers_v": q("lineitem", lambda d: P.cramers_v(d, "l_returnflag", "l_linestatus")), "integ_redundant": q("robots", redundant), "integ_drop_correlated": q("robots", dropped), "integ_redundant_categories": q("robots", lambda d: P.redundant_categories(d, CATEGORIES, 0.02)),
     "trans_one_hot": q("orders", one_hot_sums),
     "trans_ordinal": q("orders", lambda d: d.groupBy(P.ordinal("o_orderpriority", ["5-LOW", "3-MEDIUM", "1-URGENT"]).alias("code")).agg(F.count(F.lit(1)).alias("n"))),
     "trans_multivalued": q("robots", lambda d: P.multivalued(d, "sensores_activos")), "trans_flags": flags, "trans_edges": edges, "trans_binned": binned, "trans_mdlp": mdlp,
@@ -225,3 +226,14 @@ SQL["filter_scores"] = " union all ".join(_filter_sql(c) for c in ["bateria_pct"
 SQL["eda_samples"] = " union all ".join(f"select '{c}' columna, (select string_agg(v, '|' order by v) from (select distinct {c} v from robots where {c} is not null order by 1 limit 5)) ejemplos" for c in _ROBOT_COLUMNS if c not in NUM and c != "failure_next_48h")
 SQL["eda_overview"] = f"""select 'tabla' seccion, 'filas' clave, count(*) filas from robots union all select 'tabla', 'columnas', {len(_ROBOT_COLUMNS)} union all select 'clase', clase, count(*) from ({SQL["eda_schema"]}) group by 2
 union all select 'objetivo', failure_next_48h::varchar, count(*) from robots group by 2"""
+
+
+def _cramer_sql(a, b):
+    rows = f"(select {a} a, {b} b from robots where {a} is not null and {b} is not null)"
+    return f"""select '{a}' a, '{b}' b, v, case when (select count(distinct {a}) from robots) < (select count(distinct {b}) from robots) then '{a}' else '{b}' end sobra from (
+  select round(sqrt(greatest(sum(pow(coalesce(o, 0) - ra * rb / t, 2) / (ra * rb / t)), 0) / (any_value(t) * (least(count(distinct x.a), count(distinct y.b)) - 1))), 6) v
+  from (select a, count(*)::double ra from {rows} group by 1) x cross join (select b, count(*)::double rb from {rows} group by 1) y cross join (select count(*)::double t from {rows}) t
+  left join (select a, b, count(*) o from {rows} group by 1, 2) n on n.a = x.a and n.b = y.b) where v > 0.02"""
+
+
+SQL["integ_redundant_categories"] = " union all ".join(_cramer_sql(a, b) for i, a in enumerate(CATEGORIES) for b in CATEGORIES[i + 1 :])
