@@ -134,9 +134,11 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("o"))
     ra, rb = n.groupBy("a").agg(F.sum("o").alias("ra")), n.groupBy("b").agg(F.sum("o").alias("rb"))
     total = n.agg(F.sum("o").alias("t"))
-    # the sum over all cells of (o - e)^2 / e is the sum over the cells that have rows of o^2 / e, less the total
+    # the sum over all cells of (o - e)^2 / e is the sum over the cells that have rows of o^2 / e, less the total;
+    # as floats, since the products of counts pass 64 bits from some millions of rows
     cells = n.join(ra, "a").join(rb, "b").join(F.broadcast(total))
-    part = cells.agg(F.sum(F.col("o") * F.col("o") * F.col("t") / (F.col("ra") * F.col("rb"))).alias("s"), F.max("t").alias("t"), F.count_distinct("a").alias("ka"), F.count_distinct("b").alias("kb"))
+    o = F.col("o").cast("double")
+    part = cells.agg(F.sum(o / F.col("ra") * (o / F.col("rb")) * F.col("t")).alias("s"), F.max("t").alias("t"), F.count_distinct("a").alias("ka"), F.count_distinct("b").alias("kb"))
     chi, small = F.col("s") - F.col("t"), F.least("ka", "kb") - 1
     return part.select(F.round(F.when(small > 0, F.sqrt(F.greatest(chi, F.lit(0.0)) / (F.col("t") * small))).otherwise(0.0), 6).alias("v"))
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from brocal.operators import prep as P
@@ -54,3 +55,11 @@ def test_imputed_values_come_from_the_nearest_of_all_rows(spark, rows, block):
         gap = z[donors] - z[i]
         d = np.nansum(gap**2, axis=1) * 3 / (~np.isnan(gap)).sum(axis=1)
         assert made[i] == pytest.approx(m[donors[np.argsort(d)[:5]], 0].mean())
+
+
+def test_association_of_columns_with_millions_of_rows_a_cell(spark):
+    """The products of the counts pass 64 bits."""
+    n = 20_000_000
+    df = spark.range(n).select(F.when(F.col("id") < n // 2, "x").otherwise("y").alias("a"), F.when(F.col("id") < n // 4 * 3, "p").otherwise("q").alias("b"))
+    # cells 1/2, 0, 1/4, 1/4: phi = (1/2 * 1/4 - 0 * 1/4) / sqrt(1/2 * 1/2 * 3/4 * 1/4)
+    assert P.cramers_v(df, "a", "b").first()["v"] == pytest.approx(0.125 / (3 / 64) ** 0.5, abs=1e-6)
