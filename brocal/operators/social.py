@@ -235,6 +235,37 @@ def trending(trends: DataFrame, limit: int = 10) -> DataFrame:
     return trends.groupBy("hashtag").agg(F.sum("post_count").alias("total")).orderBy(F.desc("total"), "hashtag").limit(limit)
 
 
+def tag_sets(used: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(user_id, set) of `used` (user_id, tag; distinct), and (set, tags, k, n): the different sets of tags, of k tags and n users.
+
+    Users with the same tags share the same tags with everybody, so pairs are
+    of sets, of which there are far fewer than users.
+    """
+    own = used.groupBy("user_id").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+    own = cut(own.select("user_id", "tags", F.md5(F.to_json("tags")).alias("set")))
+    return own.select("user_id", "set"), cut(own.groupBy("set").agg(F.first("tags").alias("tags"), F.count(F.lit(1)).alias("n")).withColumn("k", F.size("tags")))
+
+
+def set_pairs(sets: DataFrame) -> DataFrame:
+    """a, b (a < b), shared: the pairs of different sets with a tag in common, and the number of these."""
+    members = sets.select("set", F.explode("tags").alias("tag"))
+    return block_pairs(members, "set", ["tag"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def edge_types(posts: DataFrame, follows: DataFrame) -> DataFrame:
+    """type, edges, mean_weight of the `community_edges`, which are counted by pairs of tag sets and not listed."""
+    used = posts.where(~F.col("is_spam")).select("user_id", F.explode("hashtags").alias("tag")).distinct()
+    _, sets = tag_sets(used)
+    n, big = sets.select("set", "n"), "decimal(38,0)"
+    within = sets.select((F.col("n") * (F.col("n") - 1) / 2).cast(big).alias("edges"), F.col("k").cast("bigint").alias("w"))
+    across = set_pairs(sets).join(n.select(F.col("set").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("set").alias("b"), F.col("n").alias("nb")), "b")
+    across = across.select((F.col("na") * F.col("nb")).cast(big).alias("edges"), F.col("shared").alias("w"))
+    shared = within.unionByName(across).agg(F.sum("edges").alias("edges"), F.sum(F.col("edges").cast("double") * F.col("w")).alias("w")).where("edges > 0")
+    shared = shared.select(F.lit("shared_hashtag").alias("type"), F.col("edges").cast("bigint").alias("edges"), F.round(F.col("w") / F.col("edges").cast("double"), 6).alias("mean_weight"))
+    followed = follows.agg(F.count(F.lit(1)).alias("edges")).where("edges > 0").select(F.lit("follows").alias("type"), "edges", F.lit(1.0).alias("mean_weight"))
+    return followed.unionByName(shared)
+
+
 def follow_recommender(posts: DataFrame, follows: DataFrame, top: int = 10) -> DataFrame:
     """Whom to follow: 0.6 of shared tags and 0.4 of friends of friends, each over its maximum; not whom one follows already."""
     used = posts.select("user_id", F.explode("hashtags").alias("tag")).distinct()
