@@ -266,16 +266,54 @@ def edge_types(posts: DataFrame, follows: DataFrame) -> DataFrame:
     return followed.unionByName(shared)
 
 
+def most_shared(of: DataFrame, sets: DataFrame, pairs: DataFrame, follows: DataFrame, top: int) -> DataFrame:
+    """user_id, candidate, shared: at least the `top` users who share most tags with each user (then by name), but for those whom the user follows; others too.
+
+    A user needs as many more of those who share most with the user's set as
+    the user follows, plus one, the user.  The lists of a set are as long as
+    its users need, and take only the sets that share so many tags that the
+    list is not full before.
+    """
+    need = of.join(counted(follows, "follower_id", "f").withColumnRenamed("_id", "user_id"), "user_id", "left").select("user_id", "set", (F.coalesce("f", F.lit(0)) + top + 1).alias("need"))
+    need = cut(need)
+    longest = need.groupBy("set").agg(F.max("need").alias("most"))
+    both = pairs.select("a", "b", "shared").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    both = both.unionByName(sets.select(F.col("set").alias("a"), F.col("set").alias("b"), F.col("k").cast("bigint").alias("shared")))
+    both = both.join(sets.select(F.col("set").alias("b"), "n"), "b").join(longest.withColumnRenamed("set", "a"), "a")
+    # users who share more than a level's tags
+    level = both.groupBy("a", "shared").agg(F.sum("n").alias("n"))
+    level = level.withColumn("before", F.sum("n").over(Window.partitionBy("a").orderBy(F.desc("shared"))) - F.col("n")).select("a", "shared", "before")
+    wanted = cut(both.join(level, ["a", "shared"]).where("before < most").select("a", "b", "shared", "most"))
+    # no list takes more of a set than the longest that takes of it
+    at = of.withColumn("i", F.row_number().over(Window.partitionBy("set").orderBy("user_id")))
+    at = at.join(wanted.groupBy(F.col("b").alias("set")).agg(F.max("most").alias("m")), "set").where("i <= m").select(F.col("set").alias("b"), F.col("user_id").alias("candidate"), "i")
+    listed = wanted.join(at, "b").where("i <= most").select("a", "candidate", "shared", "most")
+    listed = listed.withColumn("i", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "candidate"))).where("i <= most").select(F.col("a").alias("set"), "candidate", "shared", "i")
+    return need.join(listed, "set").where("i <= need and user_id != candidate").select("user_id", "candidate", "shared")
+
+
 def follow_recommender(posts: DataFrame, follows: DataFrame, top: int = 10) -> DataFrame:
-    """Whom to follow: 0.6 of shared tags and 0.4 of friends of friends, each over its maximum; not whom one follows already."""
-    used = posts.select("user_id", F.explode("hashtags").alias("tag")).distinct()
-    pairs = block_pairs(used.where("user_id is not null"), "user_id", ["tag"]).groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
-    both = pairs.select(F.col("x").alias("user_id"), F.col("y").alias("candidate"), "shared").unionByName(pairs.select(F.col("y").alias("user_id"), F.col("x").alias("candidate"), "shared"))
+    """Whom to follow: 0.6 of shared tags and 0.4 of friends of friends, each over its maximum; not whom one follows already.
+
+    Of those who share tags but are no friends of friends, only the `top` of
+    most shared tags can be among the best (a tag more outweighs the rounding of
+    scores up to 600,000 shared tags): they are found by `most_shared`,
+    without listing all pairs.  Friends of friends are listed all.
+    """
+    used = posts.select("user_id", F.explode("hashtags").alias("tag")).where("user_id is not null").distinct()
+    follows = cut(follows.select("follower_id", "following_id"))
+    of, sets = tag_sets(used)
+    known = follows.select(F.col("follower_id").alias("user_id"), F.col("following_id").alias("candidate"))
     ab = follows.select(F.col("follower_id").alias("user_id"), F.col("following_id").alias("via"))
     bc = follows.select(F.col("follower_id").alias("via"), F.col("following_id").alias("candidate"))
     fof = ab.join(bc, "via").where("user_id != candidate").groupBy("user_id", "candidate").agg(F.count_distinct("via").alias("friends"))
-    known = follows.select(F.col("follower_id").alias("user_id"), F.col("following_id").alias("candidate"))
-    df = both.join(fof, ["user_id", "candidate"], "full").fillna(0).join(known, ["user_id", "candidate"], "left_anti")
+    # the tags that friends of friends share, from their sets
+    named = [of.select(F.col("user_id").alias(c), F.col("set").alias(s)) for c, s in (("user_id", "sa"), ("candidate", "sb"))]
+    tags = [sets.select(F.col("set").alias(s), F.col("tags").alias(t)) for s, t in (("sa", "ta"), ("sb", "tb"))]
+    fof = fof.join(known, ["user_id", "candidate"], "left_anti").join(named[0], "user_id", "left").join(named[1], "candidate", "left").join(tags[0], "sa", "left").join(tags[1], "sb", "left")
+    fof = fof.select("user_id", "candidate", F.coalesce(F.array_size(F.array_intersect("ta", "tb")).cast("bigint"), F.lit(0)).alias("shared"), "friends")
+    near = most_shared(of, sets, cut(set_pairs(sets)), follows, top).join(known, ["user_id", "candidate"], "left_anti").withColumn("friends", F.lit(0).cast("bigint"))
+    df = cut(fof.unionByName(near).groupBy("user_id", "candidate").agg(F.max("shared").alias("shared"), F.max("friends").alias("friends")))
     most = df.agg(F.max("shared").alias("ms"), F.max("friends").alias("mf"))
     df = df.join(F.broadcast(most)).withColumn("score", F.round(0.6 * F.col("shared") / F.greatest("ms", F.lit(1)) + 0.4 * F.col("friends") / F.greatest("mf", F.lit(1)), 6)).drop("ms", "mf")
     df = df.withColumn("reason", F.when((F.col("shared") > 0) & (F.col("friends") > 0), "ambos").when(F.col("shared") > 0, "hashtags").otherwise("amigos"))

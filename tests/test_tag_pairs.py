@@ -19,6 +19,19 @@ def made(spark, users, tags, seed):
     return own, follows, spark.createDataFrame(posts, "user_id string, hashtags array<string>, is_spam boolean"), spark.createDataFrame(sorted(follows), "follower_id string, following_id string")
 
 
+def test_recommended_are_the_best_of_all_pairs(spark):
+    own, follows, posts, df = made(spark, 120, list("abcdefgh"), 5)
+    friends = Counter((a, d) for a, b in follows for c, d in follows if b == c and a != d)
+    pairs = {(a, b): (len(own[a] & own[b]), friends[a, b]) for a in own for b in own if a != b and (a, b) not in follows}
+    pairs = {k: v for k, v in pairs.items() if any(v)}
+    ms, mf = (max(v[i] for v in pairs.values()) for i in (0, 1))
+    expected = set()
+    for u in own:
+        ranked = sorted((-round(0.6 * s / ms + 0.4 * f / mf, 6), b, s, f) for (a, b), (s, f) in pairs.items() if a == u)
+        expected |= {(u, b, s, f, i + 1) for i, (_, b, s, f) in enumerate(ranked[:4])}
+    assert {tuple(x) for x in S.follow_recommender(posts, df, 4).select("user_id", "candidate", "shared", "friends", "rank").collect()} == expected
+
+
 def test_edge_types_are_those_of_the_edges(spark):
     own, _, posts, df = made(spark, 90, list("abcdef"), 6)
     edges = S.community_edges(posts, df).groupBy("type").agg(F.count(F.lit(1)), F.round(F.avg("weight"), 6))
@@ -34,3 +47,5 @@ def test_a_tag_of_all_users_is_not_listed_by_pairs(spark):
     posts = spark.range(n).select(F.format_string("u%06d", "id").alias("user_id"), F.array(F.lit("x")).alias("hashtags"), F.lit(False).alias("is_spam"))
     none = spark.createDataFrame([], "follower_id string, following_id string")
     assert [tuple(x) for x in S.edge_types(posts, none).collect()] == [("shared_hashtag", n * (n - 1) // 2, 1.0)]
+    best = S.follow_recommender(posts, none)
+    assert best.count() == 10 * n and {x["candidate"] for x in best.where("user_id = 'u100000'").collect()} == {f"u{i:06}" for i in range(10)}
