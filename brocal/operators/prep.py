@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brocal.operators.neighbours import BLOCK, nearest
 from brocal.operators.quantiles import quantiles
+from brocal.operators.skew import block_join
 
 # ---------------------------------------------------------------- missing values
 
@@ -119,7 +120,7 @@ def joined(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame
     same = [c for c in a.columns if c in b.columns and c != on]
     a = a.withColumnsRenamed({c: f"{c}_a" for c in same})
     b = b.withColumnsRenamed({c: f"{c}_b" for c in same})
-    return a.join(b, on, how)
+    return block_join(a, b, on, how)
 
 
 def key_report(a: DataFrame, b: DataFrame, on: str) -> DataFrame:

@@ -7,12 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brocal.session import cut
+
 #: A key with more than this share of all rows is hot: there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 1000
 #: And it has more rows than this, as few rows need no splitting.
 HOT_ROWS = 100_000
 #: Members of a group from which its pairs are made by blocks.
 BLOCK = 2_000
+#: Blocks of a join that a task gets on the average, and the most tasks.
+BLOCKS, TASKS = 4, 10_000
 
 
 def hot_limit(total: int) -> int:
@@ -57,3 +61,28 @@ def block_pairs(rows: DataFrame, member: str, by: Sequence[str], most: int = BLO
     back = placed.select(*by, F.col("__m").alias("__y"), F.explode(F.sequence(F.lit(0), F.col("__i"))).alias("__p"), F.col("__i").alias("__q"))
     met = ahead.join(back, [*by, "__p", "__q"]).where((F.col("__x") != F.col("__y")) & ((F.col("__p") != F.col("__q")) | (F.col("__x") < F.col("__y"))))
     return met.select(F.least("__x", "__y").alias("a"), F.greatest("__x", "__y").alias("b"))
+
+
+def block_join(a: DataFrame, b: DataFrame, on: str, how: str, most: int = BLOCK) -> DataFrame:
+    """`a` joined to `b` on a column, for keys of many rows on both sides, whose result is far larger than both.
+
+    Both sides of a key of more than `most` x `most` result rows are cut into
+    blocks by hash, and blocks meet pairwise.  Such keys have rows on both
+    sides, so each `how` treats them alike; the others are joined as they are.
+    """
+    na, nb = (d.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias(n)) for d, n in ((a, "__na"), (b, "__nb")))
+    hot = cut(na.join(nb, on).where(F.col("__na") * F.col("__nb") > most * most).select(on, *[F.ceil(F.col(n) / most).cast("int").alias(k) for n, k in (("__na", "__ka"), ("__nb", "__kb"))]))
+    blocks = hot.agg(F.sum(F.col("__ka") * F.col("__kb"))).first()[0]
+    if not blocks:
+        return a.join(b, on, how)
+    tasks = max(1, min(TASKS, blocks // BLOCKS))
+
+    def placed(d: DataFrame, own: str, other: str, k: str, others: str) -> DataFrame:
+        d = d.withColumn(own, F.xxhash64(*d.columns)).join(F.broadcast(hot), on)
+        d = d.withColumn(own, F.pmod(F.col(own), F.col(k)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop("__ka", "__kb")
+        # a number of its own, else few bytes would be put together in few tasks
+        return d.repartition(tasks, on, "__i", "__j")
+
+    met = placed(a, "__i", "__j", "__ka", "__kb").hint("merge").join(placed(b, "__j", "__i", "__kb", "__ka"), [on, "__i", "__j"]).drop("__i", "__j")
+    keys = F.broadcast(hot.select(on))
+    return met.unionByName(a.join(keys, on, "left_anti").join(b.join(keys, on, "left_anti"), on, how))

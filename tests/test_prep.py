@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from brocal.operators import prep as P
+from brocal.operators.skew import block_join
 
 DATA = "/root/testdata/sf0.001"
 
@@ -63,3 +64,15 @@ def test_association_of_columns_with_millions_of_rows_a_cell(spark):
     df = spark.range(n).select(F.when(F.col("id") < n // 2, "x").otherwise("y").alias("a"), F.when(F.col("id") < n // 4 * 3, "p").otherwise("q").alias("b"))
     # cells 1/2, 0, 1/4, 1/4: phi = (1/2 * 1/4 - 0 * 1/4) / sqrt(1/2 * 1/2 * 3/4 * 1/4)
     assert P.cramers_v(df, "a", "b").first()["v"] == pytest.approx(0.125 / (3 / 64) ** 0.5, abs=1e-6)
+
+
+def test_keys_of_many_pairs_are_joined_by_blocks(spark):
+    """Every kind of join equals the plain one, and no task makes all rows of the large key."""
+    a = spark.createDataFrame([(k, f"a{i}") for i in range(300) for k in ([1] if i < 250 else [2, None] if i < 280 else [4])], "k int, x string")
+    b = spark.createDataFrame([(k, f"b{i}") for i in range(120) for k in ([1, 3] if i < 90 else [2, None])], "k int, y string")
+    for how in ("inner", "left", "right", "outer"):
+        got = block_join(a, b, "k", how, 20)
+        assert got.columns == ["k", "x", "y"] and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, a.join(b, "k", how).collect()), key=str)
+    of_task = block_join(a, b, "k", "inner", 20).groupBy(F.spark_partition_id()).count().collect()
+    assert len(of_task) > 8 and max(r["count"] for r in of_task) < 250 * 90 / 3
+    assert block_join(a, b, "k", "outer").count() == a.join(b, "k", "outer").count()
