@@ -6,9 +6,11 @@ import json
 import random
 import re
 import uuid
+import zlib
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ WORDS, SIMILAR = 5, 0.8
 WORD = r"[\p{L}\p{N}_]+"
 TOKEN = r"[\p{L}\p{N}_]+|[.,;:¿?¡!]"
 MERSENNE = 2**31 - 1
+#: Buckets in which shingles are counted (a byte each), and those of one row.
+BUCKETS, PART = 2**24, 2**20
 
 
 # ---------------------------------------------------------------- cleaning
@@ -128,24 +132,80 @@ def _sets(df: DataFrame, key: str, words: int = WORDS) -> tuple[DataFrame, DataF
     return members, d.join(reps.select(F.col("rep").alias(key)), key, "left_semi").select(F.col(key).alias("id"), "s")
 
 
+def _hashes(words: int) -> Column:
+    """The distinct 64-bit hashes of the shingles of `w`, hashes of words; see `shingles`."""
+    many = F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(words)]))
+    return F.array_distinct(F.when(F.size("w") > words, many).otherwise(F.array(F.xxhash64("w"))))
+
+
+class _Levels:
+    """(part, levels): of each bucket in the part, the bit length of the greatest count; 0 where all shingles are of one text."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            h, n = batch.column("h").to_numpy(), batch.column("n").to_numpy()
+            at, level = h.astype(np.int64) & (BUCKETS - 1), np.frexp(n.astype(float))[1].astype(np.uint8)
+            for p in np.unique(at // PART):
+                own = at // PART == p
+                np.maximum.at(made.setdefault(int(p), np.zeros(PART, np.uint8)), at[own] % PART, level[own])
+        if made:
+            yield pa.RecordBatch.from_pydict({"part": pa.array(list(made), pa.int32()), "levels": pa.array([zlib.compress(x.tobytes(), 1) for x in made.values()], pa.binary())})
+
+
+class _Prefix:
+    """Of each text, those of the rarest shingles (least level, then hash) that other texts have too."""
+
+    def __init__(self, levels, similar: float):
+        self.levels, self.similar = levels, similar
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.frombuffer(self.levels.value, np.uint8)
+        for batch in batches:
+            s, b = batch.column("s"), batch.column("b")
+            n = np.diff(s.offsets.to_numpy())
+            t, low = s.flatten().to_numpy(), levels[b.flatten().to_numpy().astype(np.int64) & (BUCKETS - 1)]
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((t, low, row))
+            first = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
+            order = order[(first < np.repeat(n - np.ceil(n * self.similar - 1e-9).astype(int) + 1, n)) & (low[order] > 0)]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(row[order])), "n": pa.array(n[row[order]], pa.int32()), "t": pa.array(t[order])})
+
+
 def similar_pairs(df: DataFrame, key: str = "doc_id", similar: float = SIMILAR, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """Members of classes of equal shingle sets, and the pairs (a, b, jaccard) of different sets that are similar, none left out.
 
     Two sets that reach the similarity share one of the rarest few shingles of
-    each (prefix filter).  So only these meet, in a join on the shingle with
-    sets whose size can match; repeated texts are one set before.  Similarity
-    is then counted exactly.
+    each (prefix filter), whatever order decides what is rare.  So only these
+    meet, in a join on the shingle with sets whose size can match; repeated
+    texts are one set before.  Similarity is then counted exactly, over the
+    shingles themselves.  Shingles are 64-bit hashes until then, and how rare
+    one is says a table of BUCKETS counts, as bit lengths: shingles are made
+    again for each step and never written.
     """
-    members, sets = _sets(df, key, words)
-    sets = cut(sets.withColumn("n", F.size("s")))
-    tokens = sets.select("id", "n", F.explode("s").alias("t"))
-    rare = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    order = Window.partitionBy("id")
-    prefix = tokens.join(rare.where("f > 1"), "t", "left").withColumn("i", F.row_number().over(order.orderBy(F.coalesce("f", F.lit(1)), "t")))
-    prefix = cut(prefix.where((F.col("i") <= F.col("n") - F.ceil(F.col("n") * similar) + 1) & F.col("f").isNotNull()).select("id", "n", "t"))
+    spark = df.sparkSession
+    ship(spark)
+    texts = df.where("text is not null").select(key, "text")
+    classed = cut(_shingled(texts, key, words=words).select(key, F.md5(F.array_join("s", "\n")).alias("h")))
+    members = cut(classed.join(classed.groupBy("h").agg(F.min(key).alias("rep")), "h").select(key, "rep"))
+    hashed = texts.select(F.col(key).alias("id"), words_of("text").alias("w")).where(F.size("w") > 0).select("id", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    hashed = hashed.select("id", _hashes(words).alias("s"))
+    counts = hashed.select(F.explode_outer("s").alias("t")).groupBy(F.hash("t").alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    levels = np.zeros(BUCKETS, np.uint8)
+    for r in counts.mapInArrow(_Levels(), "part int, levels binary").toLocalIterator():
+        at = levels[r["part"] * PART : (r["part"] + 1) * PART]
+        np.maximum(at, np.frombuffer(zlib.decompress(r["levels"]), np.uint8), out=at)
+    rare = spark.sparkContext.broadcast(levels.tobytes())
+    kind = df.schema[key].dataType.simpleString()
+    prefix = hashed.select("id", "s", F.transform("s", lambda x: F.hash(x)).alias("b")).mapInArrow(_Prefix(rare, similar), f"id {kind}, n int, t bigint")
+    prefix = cut(prefix.join(members.where(F.col(key) == F.col("rep")).select(F.col("rep").alias("id")), "id", "left_semi"))
     a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t")
-    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("na") >= similar * F.col("nb")) & (F.col("nb") >= similar * F.col("na"))).select("a", "b").distinct()
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    pairs = cut(a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("na") >= similar * F.col("nb")) & (F.col("nb") >= similar * F.col("na"))).select("a", "b").distinct())
+    met = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", key)
+    # the texts meet, not the shingles made of them
+    full = texts.join(met, key, "left_semi")
+    full = pairs.join(full.select(F.col(key).alias("a"), F.col("text").alias("x")), "a").join(full.select(F.col(key).alias("b"), F.col("text").alias("y")), "b")
+    full = full.select("a", "b", words_of("x").alias("x"), words_of("y").alias("y")).select("a", "b", shingles(F.col("x"), words).alias("sa"), shingles(F.col("y"), words).alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     out = full.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).where(F.col("jaccard") >= similar)
     return members, out

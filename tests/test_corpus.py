@@ -1,7 +1,11 @@
+import random
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from brocal.operators import corpus as C
+from brocal.session import shared_folder
 
 
 def test_rare_words_count_past_200_000(spark):
@@ -16,3 +20,26 @@ def test_rare_words_count_past_200_000(spark):
 
 def test_registered_with_the_default_number_of_merges(spark):
     assert __spark_entry__.queries()["bpe_merges"](spark, "/root/testdata/sf0.001").count() == 500
+
+
+def test_near_duplicates_write_less_than_their_texts(spark):
+    """Shingles, some five times their text, stay off the disk; the pairs are those of all pairs of texts."""
+    r = random.Random(8)
+    texts = [" ".join(f"palabra{r.randrange(5000)}" for _ in range(600)) for _ in range(60)]
+    for i in range(20):
+        w = texts[i].split()
+        w[r.randrange(600)] = "otra"
+        texts.append(" ".join(w[: 600 - r.randrange(120)]))
+    texts += [texts[0], "uno dos tres cuatro cinco", "uno dos tres cuatro cinco", "uno", ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("part-*"))
+    before = size()
+    members, pairs = C.similar_pairs(d)
+    got = {(x["a"], x["b"]): x["jaccard"] for x in pairs.collect()}
+    assert size() - before < sum(map(len, texts)) / 4
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) > 5 else {tuple(w)} for i, t in enumerate(texts) if (w := t.split())}
+    reps = {x["doc_id"]: x["rep"] for x in members.collect()}
+    assert reps == {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in set(reps.values()) for j in set(reps.values()) if i < j}
+    assert got == {k: v for k, v in alike.items() if v >= 0.8} and len(got) > 5
