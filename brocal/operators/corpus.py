@@ -26,7 +26,14 @@ WORD = r"[\p{L}\p{N}_]+"
 TOKEN = r"[\p{L}\p{N}_]+|[.,;:¿?¡!]"
 MERSENNE = 2**31 - 1
 #: Buckets in which shingles are counted (a byte each), and those of one row.
-BUCKETS, PART = 2**24, 2**20
+BUCKETS, PART = 2**26, 2**20
+BUCKET_SHIFT = np.uint64(64 - 26)
+#: Words of which shingles are made at a time.
+CHUNK = 1_000_000
+#: 64-bit numbers of the parities of any text, and bits for a shingle in those of a long one.
+LONGS, BITS = 4, 0.75
+#: Pairs whose texts are picked by broadcast.
+FEW = 500_000
 
 
 # ---------------------------------------------------------------- cleaning
@@ -132,44 +139,137 @@ def _sets(df: DataFrame, key: str, words: int = WORDS) -> tuple[DataFrame, DataF
     return members, d.join(reps.select(F.col("rep").alias(key)), key, "left_semi").select(F.col(key).alias("id"), "s")
 
 
-def _hashes(words: int) -> Column:
-    """The distinct 64-bit hashes of the shingles of `w`, hashes of words; see `shingles`."""
-    many = F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(words)]))
-    return F.array_distinct(F.when(F.size("w") > words, many).otherwise(F.array(F.xxhash64("w"))))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def _distinct(w: np.ndarray, n: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles each text has, and their sorted distinct 64-bit hashes; of texts of `n` words given as hashes `w`. See `shingles`."""
+    r = random.Random(words)
+    factors = [np.uint64(r.getrandbits(64) | 1) for _ in range(words + 1)]
+    at = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+    rest = np.repeat(n, n) - at
+    # the number of words counts too, as a short text is one shingle
+    h = np.minimum(rest, words).astype(np.uint64) * factors[words]
+    for j in range(min(words, len(w))):
+        h[: len(w) - j] += np.where(rest[: len(w) - j] > j, w[j:] * factors[j], np.uint64(0))
+    h = _mixed(h[(rest >= words) | (at == 0)])
+    n = np.where(n > 0, np.maximum(n - words + 1, 1), 0)
+    for start, end in zip(np.cumsum(n) - n, np.cumsum(n), strict=True):
+        h[start:end].sort()
+    row = np.repeat(np.arange(len(n)), n)
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return np.bincount(row[new], minlength=len(n)), h[new]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """ids, numbers of shingles, their hashes, of CHUNK words at a time."""
+    for batch in batches:
+        ids, ends = batch.column("id"), batch.column("w").offsets.to_numpy().astype(np.int64)
+        w, ends, at = batch.column("w").flatten().to_numpy().view(np.uint64), ends - ends[0], 0
+        while at < len(ids):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK, "right")) - 1)
+            yield ids.slice(at, to - at), *_distinct(w[ends[at] : ends[to]], np.diff(ends[at : to + 1]), words)
+            at = to
+
+
+class _Counts:
+    """(part, counts): of each bucket in the part, how many shingles of texts fell into it, 255 at most."""
+
+    def __init__(self, words: int):
+        self.words = words
 
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(BUCKETS, np.uint8)
+        for _, _, h in _chunks(batches, self.words):
+            at = np.sort(h >> BUCKET_SHIFT)
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]][: len(at)])
+            at, n = at[first], np.diff(np.r_[first, len(at)])
+            table[at] = np.minimum(table[at] + n, 255)
+        for part in range(BUCKETS // PART):
+            if (x := table[part * PART : (part + 1) * PART]).any():
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())})
 
-class _Levels:
-    """(part, levels): of each bucket in the part, the bit length of the greatest count; 0 where all shingles are of one text."""
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
-        for batch in batches:
-            h, n = batch.column("h").to_numpy(), batch.column("n").to_numpy()
-            at, level = h.astype(np.int64) & (BUCKETS - 1), np.frexp(n.astype(float))[1].astype(np.uint8)
-            for p in np.unique(at // PART):
-                own = at // PART == p
-                np.maximum.at(made.setdefault(int(p), np.zeros(PART, np.uint8)), at[own] % PART, level[own])
-        if made:
-            yield pa.RecordBatch.from_pydict({"part": pa.array(list(made), pa.int32()), "levels": pa.array([zlib.compress(x.tobytes(), 1) for x in made.values()], pa.binary())})
+def _added(parts: pa.Table) -> pa.Table:
+    total = np.zeros(PART, np.uint32)
+    for x in parts.column("counts"):
+        total += np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+    total = np.minimum(total, 255).astype(np.uint8)
+    return pa.table({"part": parts.column("part").slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
 
+def _parities(row: np.ndarray, h: np.ndarray, longs: np.ndarray) -> pa.Array:
+    """Of each row as many 64-bit numbers as `longs` says, a power of two or none: a bit is set where an odd number of hashes fall on it."""
+    first, own = (np.cumsum(longs) - longs) * 64, longs[row]
+    h, first, own = h[own > 0], first[row][own > 0], own[own > 0]
+    bits = np.bincount(first + (h & (own * 64 - 1).astype(np.uint64)).astype(np.int64), minlength=int(longs.sum()) * 64) & 1
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(longs)], pa.int32()), pa.array(np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)))
 
-class _Prefix:
-    """Of each text, those of the rarest shingles (least level, then hash) that other texts have too."""
 
-    def __init__(self, levels, similar: float):
-        self.levels, self.similar = levels, similar
+class _Summaries:
+    """Of each text with any word: n shingles, two sums of their hashes, their parities, and those of its rarest shingles that other texts have too."""
+
+    def __init__(self, counts, similar: float, words: int):
+        self.counts, self.similar, self.words = counts, similar, words
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(BUCKETS, np.uint8)
+        for part, x in self.counts.value:
+            table[part * PART : (part + 1) * PART] = np.frombuffer(zlib.decompress(x), np.uint8)
+        for ids, n, h in _chunks(batches, self.words):
+            ids, n = ids.take(pa.array(np.flatnonzero(n))), n[n > 0]
+            if not len(n):
+                continue
+            first, row = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+            x, y = np.add.reduceat(h, first), np.add.reduceat(_mixed(h ^ np.uint64(0x9E3779B97F4A7C15)), first)
+            longs = LONGS * 2 ** np.maximum(0, np.ceil(np.log2(n * BITS / (64 * LONGS)))).astype(np.int64)
+            # the count before the rest of the hash: the rarest come first
+            t = (table[h >> BUCKET_SHIFT].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+            for start, end in zip(first, first + n, strict=True):
+                t[start:end].sort()
+            among = np.arange(len(t)) - first[row] < (n - np.ceil(n * self.similar - 1e-9).astype(int) + 1)[row]
+            among &= t >= np.uint64(2 << 56)
+            sizes = np.bincount(row[among], minlength=len(n))
+            yield pa.RecordBatch.from_pydict({
+                "id": ids, "n": pa.array(n, pa.int32()), "x": pa.array(x.view(np.int64)), "y": pa.array(y.view(np.int64)),
+                "p": _parities(row, h, np.full(len(n), LONGS)), "wide": _parities(row, h, np.where(longs > LONGS, longs, 0)),
+                "t": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(t[among].view(np.int64))),
+            })
+
+
+class _Jaccard:
+    """a, b, jaccard of the pairs of texts, as lists of words, that are similar: counted over the shingles themselves."""
+
+    def __init__(self, similar: float, words: int):
+        self.similar, self.words = similar, words
+
+    def shingles(self, w: list[str]) -> set[tuple[str, ...]]:
+        return set(zip(*(w[j:] for j in range(self.words)), strict=False)) if len(w) > self.words else {tuple(w)}
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = np.frombuffer(self.levels.value, np.uint8)
         for batch in batches:
-            s, b = batch.column("s"), batch.column("b")
-            n = np.diff(s.offsets.to_numpy())
-            t, low = s.flatten().to_numpy(), levels[b.flatten().to_numpy().astype(np.int64) & (BUCKETS - 1)]
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((t, low, row))
-            first = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
-            order = order[(first < np.repeat(n - np.ceil(n * self.similar - 1e-9).astype(int) + 1, n)) & (low[order] > 0)]
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(row[order])), "n": pa.array(n[row[order]], pa.int32()), "t": pa.array(t[order])})
+            found = []
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = self.shingles(x.as_py()), self.shingles(y.as_py())
+                both = len(x & y)
+                found.append(both / (len(x) + len(y) - both))
+            keep = pa.array([i for i, j in enumerate(found) if j >= self.similar], pa.int64())
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a").take(keep), "b": batch.column("b").take(keep), "jaccard": pa.array(found, pa.float64()).take(keep)})
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """How many bits of two lists of numbers differ."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+
+
+def _folded(x: Column, y: Column) -> Column:
+    """Parities `x` by half as many bits where those of `y` are half as many."""
+    n = F.size(y)
+    return F.when(F.size(x) == 2 * n, F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
 
 
 def similar_pairs(df: DataFrame, key: str = "doc_id", similar: float = SIMILAR, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -178,36 +278,40 @@ def similar_pairs(df: DataFrame, key: str = "doc_id", similar: float = SIMILAR,
     Two sets that reach the similarity share one of the rarest few shingles of
     each (prefix filter), whatever order decides what is rare.  So only these
     meet, in a join on the shingle with sets whose size can match; repeated
-    texts are one set before.  Similarity is then counted exactly, over the
-    shingles themselves.  Shingles are 64-bit hashes until then, and how rare
-    one is says a table of BUCKETS counts, as bit lengths: shingles are made
-    again for each step and never written.
+    texts are one set before.  Two sets differ in as many shingles at least
+    as their parities differ in bits, so most pairs go before their texts
+    meet.  Similarity is then counted exactly, over the shingles themselves.
+    Shingles are 64-bit hashes until then, and how rare one is says a table of
+    BUCKETS counts: shingles are made again for each step and never written.
+    Texts are read for each step; a filter on words would match them twice.
     """
     spark = df.sparkSession
     ship(spark)
-    texts = df.where("text is not null").select(key, "text")
-    classed = cut(_shingled(texts, key, words=words).select(key, F.md5(F.array_join("s", "\n")).alias("h")))
-    members = cut(classed.join(classed.groupBy("h").agg(F.min(key).alias("rep")), "h").select(key, "rep"))
-    hashed = texts.select(F.col(key).alias("id"), words_of("text").alias("w")).where(F.size("w") > 0).select("id", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
-    hashed = hashed.select("id", _hashes(words).alias("s"))
-    counts = hashed.select(F.explode_outer("s").alias("t")).groupBy(F.hash("t").alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    levels = np.zeros(BUCKETS, np.uint8)
-    for r in counts.mapInArrow(_Levels(), "part int, levels binary").toLocalIterator():
-        at = levels[r["part"] * PART : (r["part"] + 1) * PART]
-        np.maximum(at, np.frombuffer(zlib.decompress(r["levels"]), np.uint8), out=at)
-    rare = spark.sparkContext.broadcast(levels.tobytes())
     kind = df.schema[key].dataType.simpleString()
-    prefix = hashed.select("id", "s", F.transform("s", lambda x: F.hash(x)).alias("b")).mapInArrow(_Prefix(rare, similar), f"id {kind}, n int, t bigint")
-    prefix = cut(prefix.join(members.where(F.col(key) == F.col("rep")).select(F.col("rep").alias("id")), "id", "left_semi"))
+    texts = df.where("text is not null").select(key, "text")
+    hashed = texts.select(F.col(key).alias("id"), F.transform(words_of("text"), lambda x: F.xxhash64(x)).alias("w"))
+    counts = hashed.mapInArrow(_Counts(words), "part int, counts binary").groupBy("part").applyInArrow(_added, "part int, counts binary")
+    rare = spark.sparkContext.broadcast([(r["part"], bytes(r["counts"])) for r in counts.collect()])
+    docs = cut(hashed.mapInArrow(_Summaries(rare, similar, words), f"id {kind}, n int, x bigint, y bigint, p array<bigint>, wide array<bigint>, t array<bigint>"))
+    rows = docs.select("id", "x", "y", "n")
+    many = rows.groupBy("x", "y", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    members = cut(left_back(rows, many, ["x", "y", "n"], "__n", hot_limit(docs.count())).select(F.col("id").alias(key), F.coalesce("rep", "id").alias("rep")))
+    prefix = docs.where(F.size("t") > 0).select("id", "n", "t").join(members.where(F.col(key) == F.col("rep")).select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", F.explode("t").alias("t"))
     a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t")
-    pairs = cut(a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("na") >= similar * F.col("nb")) & (F.col("nb") >= similar * F.col("na"))).select("a", "b").distinct())
+    sized = (F.col("na") >= similar * F.col("nb") - 1e-9) & (F.col("nb") >= similar * F.col("na") - 1e-9)
+    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & sized).select("a", "b", "na", "nb").distinct()
+    n = F.col("na") + F.col("nb")
+    most = n - 2 * F.ceil(n * (similar / (1 + similar)) - 1e-9)
+    x, y = F.col("x"), F.col("y")
+    for bits, apart in ((F.col("p"), _differing(x, y)), (F.when(F.size("wide") > 0, F.col("wide")).otherwise(F.col("p")), F.when(F.greatest(F.size(x), F.size(y)) <= 2 * F.least(F.size(x), F.size(y)), _differing(_folded(x, y), _folded(y, x))).otherwise(0))):
+        pairs = pairs.join(docs.select(F.col("id").alias("a"), bits.alias("x")), "a").join(docs.select(F.col("id").alias("b"), bits.alias("y")), "b").where(apart <= most).select("a", "b", "na", "nb")
+    pairs = cut(pairs.select("a", "b"))
     met = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", key)
     # the texts meet, not the shingles made of them
-    full = texts.join(met, key, "left_semi")
+    full = texts.join(F.broadcast(met) if pairs.count() <= FEW else met, key, "left_semi")
     full = pairs.join(full.select(F.col(key).alias("a"), F.col("text").alias("x")), "a").join(full.select(F.col(key).alias("b"), F.col("text").alias("y")), "b")
-    full = full.select("a", "b", words_of("x").alias("x"), words_of("y").alias("y")).select("a", "b", shingles(F.col("x"), words).alias("sa"), shingles(F.col("y"), words).alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    out = full.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).where(F.col("jaccard") >= similar)
+    # in Python, as Spark would move a filter below and match the words again for each shingle
+    out = full.select("a", "b", words_of("x").alias("x"), words_of("y").alias("y")).mapInArrow(_Jaccard(similar, words), f"a {kind}, b {kind}, jaccard double")
     return members, out
 
 
@@ -257,8 +361,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", similar: float = SIMILAR
 
 def similarity_degrees(pairs: DataFrame, top: int = 20) -> DataFrame:
     """id, vecinos, media of the texts with the most neighbours in a similarity graph."""
+    pairs = cut(pairs)
     both = pairs.select(F.col("a").alias("id"), "jaccard").unionByName(pairs.select(F.col("b").alias("id"), "jaccard"))
-    return both.groupBy("id").agg(F.count(F.lit(1)).alias("vecinos"), F.round(F.avg("jaccard"), 6).alias("media")).orderBy(F.desc("vecinos"), F.desc("media"), "id").limit(top)
+    per = both.groupBy("id").agg(F.count(F.lit(1)).alias("vecinos"), F.avg("jaccard").alias("m"))
+    # by the mean itself, but for what the order of its sum changes
+    return per.orderBy(F.desc("vecinos"), F.desc(F.round("m", 12)), "id").limit(top).select("id", "vecinos", F.round("m", 6).alias("media"))
 
 
 # ---------------------------------------------------------------- n-gram model

@@ -43,3 +43,30 @@ def test_near_duplicates_write_less_than_their_texts(spark):
     assert reps == {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
     alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in set(reps.values()) for j in set(reps.values()) if i < j}
     assert got == {k: v for k, v in alike.items() if v >= 0.8} and len(got) > 5
+
+
+def test_words_are_not_matched_again_for_each_shingle(spark):
+    """A filter on words or similarity would be moved below, and match the words wherever it reads them."""
+    d = spark.createDataFrame([(1, "uno dos tres cuatro cinco seis"), (2, "uno dos tres cuatro cinco siete")], "doc_id long, text string")
+    plan = C.similar_pairs(d)[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "regexp_extract_all" in x and ("Filter" in x or "lambda" in x)]
+
+
+def test_degrees_in_the_order_of_the_mean_itself(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.9000001), (3, 4, 0.9000004)], "a long, b long, jaccard double")
+    assert [(x["id"], x["media"]) for x in C.similarity_degrees(pairs, 3).collect()] == [(3, 0.9), (4, 0.9), (1, 0.9)]
+
+
+def test_parities_never_take_off_a_similar_pair(spark):
+    """Texts of any length, whose parities have different numbers of bits, against all pairs of sets."""
+    r = random.Random(5)
+    texts = []
+    for n in (1, 4, 5, 6, 9, 30, 335, 341, 345, 700, 1500):
+        w = [f"p{r.randrange(10**6)}" for _ in range(n)]
+        for more in range(0, n // 5 + 2, max(1, n // 25)):
+            texts.append(" ".join([*w, *(f"q{r.randrange(10**6)}" for _ in range(more))]))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) > 5 else {tuple(w)} for i, t in enumerate(texts) if (w := t.split())}
+    for similar in (0.8, 0.4):
+        _, pairs = C.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), similar=similar)
+        alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j and sets[i] != sets[j]}
+        assert {(x["a"], x["b"]): x["jaccard"] for x in pairs.collect()} == {k: v for k, v in alike.items() if v >= similar}
