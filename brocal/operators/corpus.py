@@ -348,10 +348,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """`key`, clase, enlaces: class of connected near duplicates (its least key) and the number of different texts similar to this one.
 
-    Texts without words or null are in no class.  Equal shingle sets count as
-    one text.
+    Texts without words or null are in no class, nor are those of which no
+    copy has a key.  Equal shingle sets count as one text.
     """
     members, pairs = similar_pairs(df, key, similar)
+    members = members.where("rep is not null")
     pairs = cut(pairs)
     degree = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("enlaces"))
     linked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()

@@ -70,3 +70,9 @@ def test_parities_never_take_off_a_similar_pair(spark):
         _, pairs = C.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), similar=similar)
         alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j and sets[i] != sets[j]}
         assert {(x["a"], x["b"]): x["jaccard"] for x in pairs.collect()} == {k: v for k, v in alike.items() if v >= similar}
+
+
+def test_near_duplicates_without_a_key(spark):
+    """A class needs a text with a key, as in the SQL; copies without one follow it."""
+    d = spark.createDataFrame([(None, "a b c d e f g"), (None, "sin clave"), (7, "a b c d e f g"), (8, "otra cosa"), (9, None)], "doc_id long, text string")
+    assert {tuple(x) for x in C.near_duplicates(d).collect()} == {(None, 7, 0), (7, 7, 0), (8, 8, 0)}
