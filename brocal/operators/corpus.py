@@ -32,7 +32,7 @@ BUCKET_SHIFT = np.uint64(64 - 26)
 CHUNK = 1_000_000
 #: 64-bit numbers of the parities of any text, and bits for a shingle in those of a long one.
 LONGS, BITS = 4, 0.75
-#: Pairs whose texts are picked by broadcast.
+#: Pairs whose texts are picked by broadcast, and copies that are left out by it.
 FEW = 500_000
 
 
@@ -296,7 +296,11 @@ def similar_pairs(df: DataFrame, key: str = "doc_id", similar: float = SIMILAR,
     rows = docs.select("id", "x", "y", "n")
     many = rows.groupBy("x", "y", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
     members = cut(left_back(rows, many, ["x", "y", "n"], "__n", hot_limit(docs.count())).select(F.col("id").alias(key), F.coalesce("rep", "id").alias("rep")))
-    prefix = docs.where(F.size("t") > 0).select("id", "n", "t").join(members.where(F.col(key) == F.col("rep")).select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", F.explode("t").alias("t"))
+    reps, copies = members.where(F.col(key) == F.col("rep")).select(F.col("rep").alias("id")), members.where(F.col(key) != F.col("rep")).select(F.col(key).alias("id"))
+    prefix = docs.where(F.size("t") > 0).select("id", "n", "t")
+    # copies are the fewer mostly
+    prefix = prefix.join(F.broadcast(copies.join(reps, "id", "left_anti")), "id", "left_anti") if copies.count() <= FEW else prefix.join(reps, "id", "left_semi")
+    prefix = prefix.select("id", "n", F.explode("t").alias("t"))
     a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t")
     sized = (F.col("na") >= similar * F.col("nb") - 1e-9) & (F.col("nb") >= similar * F.col("na") - 1e-9)
     pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & sized).select("a", "b", "na", "nb").distinct()

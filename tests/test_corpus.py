@@ -76,3 +76,13 @@ def test_near_duplicates_without_a_key(spark):
     """A class needs a text with a key, as in the SQL; copies without one follow it."""
     d = spark.createDataFrame([(None, "a b c d e f g"), (None, "sin clave"), (7, "a b c d e f g"), (8, "otra cosa"), (9, None)], "doc_id long, text string")
     assert {tuple(x) for x in C.near_duplicates(d).collect()} == {(None, 7, 0), (7, 7, 0), (8, 8, 0)}
+
+
+def test_pairs_by_broadcast_and_without(spark, monkeypatch):
+    texts = [" ".join(f"p{k}" for k in range(i, i + 40)) for i in (0, 0, 1, 2, 100, 101, 100)]
+    d = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (None, "nadie")], "doc_id long, text string")
+    for few in (0, 1000):
+        monkeypatch.setattr(C, "FEW", few)
+        members, pairs = C.similar_pairs(d)
+        assert {(x["a"], x["b"]) for x in pairs.collect()} == {(0, 2), (0, 3), (2, 3), (4, 5)}
+        assert {tuple(x) for x in members.collect()} == {(0, 0), (1, 0), (2, 2), (3, 3), (4, 4), (5, 5), (6, 4), (None, 0), (None, None)}
